@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,12 +27,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: lineage is cut, and a lost executor costs no recomputation."""
+    """Write df as Parquet in the shared folder and read it again: lineage is cut, and a lost executor costs no recomputation.
+
+    At most two files for each core of the cluster: many small files would cost more than they hold.
+    """
     path = f"{shared_dir(df.sparkSession)}/archivolt/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hold(df: DataFrame) -> DataFrame:
+    """Keep df on the executors' disks for several uses. A lost executor's partitions are computed again, so df must be a short way from a table."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound what one Arrow batch holds in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -49,17 +58,18 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Min-label propagation with pointer jumping, so long chains need a logarithmic number of rounds.
     Each round is joins and map-side combined minima; hot ids are split by skew joins, nothing goes to the driver
-    but the count of labels that changed.
+    but whether a label changed. Each round's labels are written, which cuts their lineage.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = materialize(both.where("a <> b").distinct(), "edges")
+    both = hold(both.where("a <> b").distinct())
     lab = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("comp")), "labels")
     while True:
         seen = both.join(lab.select(F.col("id").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("m"))
-        hooked = lab.join(seen, lab["id"] == seen["a"]).select("id", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
+        hooked = lab.join(seen, F.col("id") == F.col("a")).select("id", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
         up = lab.select(F.col("id").alias("comp"), F.col("comp").alias("up"))
-        new = materialize(hooked.join(up, "comp", "left").select("id", "old", F.least("comp", F.coalesce("up", "comp")).alias("comp")), "labels")
-        changed = new.where("comp <> old").limit(1).count()
+        new = hooked.join(up, "comp", "left").select("id", "old", F.least("comp", F.coalesce("up", "comp")).alias("comp"))
+        new = materialize(new, "labels")
+        changed = new.agg(F.max(F.col("comp") != F.col("old"))).first()[0]
         lab = new.select("id", "comp")
         if not changed:
             return lab

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, maybe_broadcast, small_batches
+from .common import connected_components, hold, materialize, maybe_broadcast, small_batches
 
 #: 42 bands of 6 rows miss a pair of similarity 0.8 with probability 3e-6, one of 0.9 with 1e-14.
 BANDS, ROWS = 42, 6
@@ -159,33 +159,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(F.col(text_col), "UTF-8").alias("t"))
-    signed = materialize(rows.mapInArrow(_sign(words), "id long, n long, d0 long, d1 long, bands array<long>, sig array<long>"), "signatures")
-    classes = materialize(signed.where("n > 0 and id is not null").groupBy("d0", "d1").agg(F.min("id").alias("rep")), "classes")
-    reps = signed.join(classes, (signed["id"] == classes["rep"]) & (signed["d0"] == classes["d0"]) & (signed["d1"] == classes["d1"])).select("id", signed["d0"], "n", "bands", "sig")
+    signed = hold(rows.mapInArrow(_sign(words), "id long, n long, d0 long, d1 long, bands array<long>, sig array<long>"))
+    classes = materialize(signed.where("n > 0 and id is not null").groupBy(F.col("d0").alias("c0"), F.col("d1").alias("c1")).agg(F.min("id").alias("rep")), "classes")
+    reps = signed.join(classes, (F.col("id") == F.col("rep")) & (F.col("d0") == F.col("c0")) & (F.col("d1") == F.col("c1"))).select("id", "n", "bands", "sig")
     banded = reps.select("id", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).where("pivot < top").select("key", "pivot")
     members = materialize(banded.join(shared, "key"), "members")
     sigs = signed.where("n > 0").select("id", "n", "sig")
-    texts = rows
 
-    def confirmed(pairs: DataFrame, tag: str) -> DataFrame:
-        pairs = materialize(_plausible(pairs, sigs, percent).distinct(), tag)
-        ids = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-        held = materialize(texts.join(maybe_broadcast(ids), "id", "left_semi"), "texts")
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        pairs = materialize(_plausible(pairs, sigs, percent).distinct(), "pairs")
+        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        held = hold(rows.join(maybe_broadcast(ids), "id", "left_semi"))
         near = pairs.join(held.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").join(held.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
         return materialize(near.select("a", "b", "ta", "tb").mapInArrow(_confirm(words, percent), "a long, b long").distinct(), "links")
 
-    links = confirmed(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "star")
+    links = confirmed(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
     comps = connected_components(links)
     placed = members.join(comps, "id", "left").select("key", "id", "pivot", F.coalesce("comp", "id").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("comp", "id").alias("base")).where("lo < hi").select("key", "base")
     open_ = materialize(placed.join(mixed, "key"), "open")
     out = open_.where("comp <> base").select("key", F.col("id").alias("o"), F.col("comp").alias("oc"))
     cross = open_.join(out, "key").where("id <> pivot and comp <> oc and (comp = base or id < o)").select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
-    more = confirmed(cross, "cross")
+    more = confirmed(cross)
     if more.limit(1).count():
         comps = connected_components(links.union(more))
-    home = classes.join(comps, classes["rep"] == comps["id"], "left").select("d0", "d1", F.coalesce("comp", "rep").alias("comp"))
+    home = classes.join(comps, F.col("rep") == F.col("id"), "left").select(F.col("c0").alias("d0"), F.col("c1").alias("d1"), F.coalesce("comp", "rep").alias("comp"))
     # the hot classes of exact copies are split by the skew join
     found = signed.select("id", "n", "d0", "d1").join(home, ["d0", "d1"], "left")
     comp = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("id")))
