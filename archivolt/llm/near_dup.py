@@ -5,10 +5,10 @@ only the low BITS bits of each minimum are retained, packed as bit planes in 64-
 estimated from bit counts, corrected for the chance that unequal minima agree in their low bits. What survives the
 estimate is confirmed exactly on the full shingle sets.
 
-Groups of copies never become all pairs. Documents with equal sets are one class from the start. In each band bucket
-all members are compared with the bucket's smallest id (a star); after components of the confirmed links are known, only
-members of different components in one bucket are still compared. So every pair of bucket-mates is either in one
-component or has been checked.
+Groups of copies never become all pairs. Documents with equal sets are one class from the start. Each
+document is first compared with one smallest id of its band buckets, then, where a bucket still holds several components of confirmed
+links, with that bucket's smallest id; last, only members of different components in one bucket are compared. So every pair of bucket-mates is
+either in one component or has been checked.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, hold, materialize, maybe_broadcast, small_batches
@@ -129,23 +129,21 @@ def _confirm(words: int, percent: int):
     return run
 
 
-def _plausible(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose set sizes and bit-count estimate allow the similarity."""
-    for side in "ab":
-        pairs = pairs.join(sigs.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("sig").alias(f"s{side}")), side)
+def _alike(na: Column, nb: Column, sa: Column, sb: Column, percent: int) -> Column:
+    """Whether set sizes and the bit-count estimate of two signatures allow the similarity."""
     least = percent / 100
     c = 1 / 2**BITS
-    p = c + (1 - c) * least
+    p = c + (1 - c) * least  # the share of equal slots at that similarity, chance agreement included
     floor = p - SIGMAS * (p * (1 - p) / PERMS) ** 0.5
     per = PERMS // 64
-    words = []
+    differ = []
     for w in range(per):  # a slot matches where all its bit planes do
-        diff = [F.col("sa")[b * per + w].bitwiseXOR(F.col("sb")[b * per + w]) for b in range(BITS)]
+        diff = [sa[b * per + w].bitwiseXOR(sb[b * per + w]) for b in range(BITS)]
         any_diff = diff[0]
         for x in diff[1:]:
             any_diff = any_diff.bitwiseOR(x)
-        words.append(F.bit_count(any_diff))
-    return pairs.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & (PERMS - sum(words[1:], words[0]) >= PERMS * floor)).select("a", "b")
+        differ.append(F.bit_count(any_diff))
+    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (PERMS - sum(differ[1:], differ[0]) >= PERMS * floor)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -167,23 +165,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = materialize(banded.join(shared, "key"), "members")
     sigs = signed.where("n > 0").select("id", "n", "sig")
 
+    def screened(pairs: DataFrame) -> DataFrame:
+        for side in "ab":
+            pairs = pairs.join(sigs.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("sig").alias(f"s{side}")), side)
+        return pairs.where(_alike(F.col("na"), F.col("nb"), F.col("sa"), F.col("sb"), percent)).select("a", "b")
+
     def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(_plausible(pairs, sigs, percent).distinct(), "pairs")
+        pairs = materialize(pairs.distinct(), "pairs")
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         held = hold(rows.join(maybe_broadcast(ids), "id", "left_semi"))
         near = pairs.join(held.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").join(held.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
         return materialize(near.select("a", "b", "ta", "tb").mapInArrow(_confirm(words, percent), "a long, b long").distinct(), "links")
 
-    links = confirmed(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
-    comps = connected_components(links)
-    placed = members.join(comps, "id", "left").select("key", "id", "pivot", F.coalesce("comp", "id").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("comp", "id").alias("base")).where("lo < hi").select("key", "base")
-    open_ = materialize(placed.join(mixed, "key"), "open")
-    out = open_.where("comp <> base").select("key", F.col("id").alias("o"), F.col("comp").alias("oc"))
-    cross = open_.join(out, "key").where("id <> pivot and comp <> oc and (comp = base or id < o)").select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b")).distinct()
-    more = confirmed(cross)
-    if more.limit(1).count():
-        comps = connected_components(links.union(more))
+    def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
+        """comps (id, comp) after links, by components of components."""
+        for side in "ab":
+            links = links.join(comps.select(F.col("id").alias(side), F.col("comp").alias(f"c{side}")), side)
+        lower = connected_components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+        return materialize(comps.join(lower.select(F.col("id").alias("comp"), F.col("comp").alias("low")), "comp", "left").select("id", F.coalesce("low", "comp").alias("comp")), "comps")
+
+    def unsettled(comps: DataFrame) -> DataFrame:
+        """Members of the buckets that hold several components; base is the pivot's."""
+        placed = members.join(comps, "id")
+        mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("comp", "id").alias("base")).where("lo < hi").select("key", "base")
+        return placed.join(mixed, "key")
+
+    # first each document with the smallest pivot of all its buckets, then with the pivots of the buckets that are still mixed, last all members of different components
+    comps = members.select("id").distinct().withColumn("comp", F.col("id"))
+    comps = merged(comps, confirmed(screened(members.where("id <> pivot").groupBy(F.col("id").alias("b")).agg(F.min("pivot").alias("a")))))
+    comps = merged(comps, confirmed(screened(unsettled(comps).where("comp <> base").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())))
+    left = materialize(unsettled(comps).join(sigs, "id").select("key", "id", "pivot", "comp", "base", "n", "sig"), "unsettled")
+    out = left.where("comp <> base").select(F.col("key").alias("ok"), F.col("id").alias("o"), F.col("comp").alias("oc"), F.col("n").alias("on"), F.col("sig").alias("os"))
+    cross = left.join(out, (F.col("key") == F.col("ok")) & F.expr("id <> pivot and comp <> oc and (comp = base or id < o)") & _alike(F.col("n"), F.col("on"), F.col("sig"), F.col("os"), percent))
+    comps = merged(comps, confirmed(cross.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b"))))
     home = classes.join(comps, F.col("rep") == F.col("id"), "left").select(F.col("c0").alias("d0"), F.col("c1").alias("d1"), F.coalesce("comp", "rep").alias("comp"))
     # the hot classes of exact copies are split by the skew join
     found = signed.select("id", "n", "d0", "d1").join(home, ["d0", "d1"], "left")
