@@ -2,8 +2,8 @@
 
 Every document is hashed by PERMS permutations. The full minima form BANDS band keys for candidate generation; then
 only the low BITS bits of each minimum are retained, packed as bit planes in 64-bit words, and a pair's similarity is
-estimated from bit counts, corrected for the chance that unequal minima agree in their low bits. What survives the
-estimate is confirmed exactly on the full shingle sets.
+estimated from bit counts, corrected for the chance that unequal minima agree in their low bits. A parity sketch of the set, a bound on the symmetric difference by one more bit
+count, spares most exact checks. What survives is confirmed exactly on the full shingle sets.
 
 Groups of copies never become all pairs. Documents with equal sets are one class from the start. Each
 document is first compared with one smallest id of its band buckets, then, where a bucket still holds several components of confirmed
@@ -26,8 +26,10 @@ from .common import connected_components, hold, materialize, maybe_broadcast, sm
 BANDS, ROWS = 42, 6
 PERMS, BITS = 256, 2
 PLANES = PERMS // 64 * BITS
-#: Standard deviations below the threshold at which the bit-count estimate drops a pair.
-SIGMAS = 5.0
+#: Bits of a set's parity sketch: the count of unequal bits of two sketches is at most, and nearly, the sets' symmetric difference.
+PARITY = 2048
+#: Standard deviations below the threshold at which an estimate drops a pair.
+SIGMAS = 6.0
 _SEEDS = np.random.default_rng(20240131).integers(0, 2**32, (2, PERMS), dtype=np.uint64).astype(np.uint32)
 _SEEDS[1] |= 1
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -96,14 +98,22 @@ def signature(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return keys.view(np.int64), packed.view(np.int64)
 
 
+def parity_sketch(x: np.ndarray) -> np.ndarray:
+    """PARITY / 64 words (int64); bit i is the parity of the number of hashes with low bits i."""
+    odd = (np.bincount((x & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
 def _sign(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
-            keys, sig = np.zeros((len(sets), BANDS), np.int64), np.zeros((len(sets), PLANES), np.int64)
+            keys, sig = np.zeros((len(sets), BANDS), np.int64), np.zeros((len(sets), PLANES + PARITY // 64), np.int64)
             some = [i for i, s in enumerate(sets) if len(s)]
             if some:
-                keys[some], sig[some] = signature([sets[i] for i in some])
+                keys[some], sig[some, :PLANES] = signature([sets[i] for i in some])
+                for i in some:
+                    sig[i, PLANES:] = parity_sketch(sets[i])
             d = np.array([(s.sum(dtype=np.uint64), _mix(s ^ _M2).sum(dtype=np.uint64)) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
             lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), lists(keys), lists(sig)], names=["id", "n", "d0", "d1", "bands", "sig"])
@@ -130,7 +140,7 @@ def _confirm(words: int, percent: int):
 
 
 def _alike(na: Column, nb: Column, sa: Column, sb: Column, percent: int) -> Column:
-    """Whether set sizes and the bit-count estimate of two signatures allow the similarity."""
+    """Whether set sizes, the bit-count estimate of two signatures, and their parity sketches allow the similarity."""
     least = percent / 100
     c = 1 / 2**BITS
     p = c + (1 - c) * least  # the share of equal slots at that similarity, chance agreement included
@@ -143,7 +153,11 @@ def _alike(na: Column, nb: Column, sa: Column, sb: Column, percent: int) -> Colu
         for x in diff[1:]:
             any_diff = any_diff.bitwiseOR(x)
         differ.append(F.bit_count(any_diff))
-    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (PERMS - sum(differ[1:], differ[0]) >= PERMS * floor)
+    unequal = [F.bit_count(sa[i].bitwiseXOR(sb[i])) for i in range(PLANES, PLANES + PARITY // 64)]
+    ham = sum(unequal[1:], unequal[0])  # compared twice: the second bound is dear and seldom reached
+    most = (na + nb) * (100 - percent) / (100 + percent)  # symmetric difference of the sets
+    mean, sd = PARITY / 2 * (1 - F.exp(-2 * most / PARITY)), F.sqrt(PARITY / 4 * (1 - F.exp(-4 * most / PARITY)))
+    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (PERMS - sum(differ[1:], differ[0]) >= PERMS * floor) & (ham <= most) & (ham <= mean + SIGMAS * sd)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
