@@ -75,9 +75,9 @@ def ranked_paths(nodes: DataFrame, keep: int = 1) -> DataFrame:
     leaves = jump.where("up is null").join(n.select("tree", F.col("parent").alias("node")).where("node is not null"), ["tree", "node"], "left_anti")
     best = W.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("depth")), F.desc("depth"), "node")
     path = materialize(leaves.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= keep).select("tree", F.col("node").alias("leaf"), "rank", "node"), "leaves")
-    for level in reversed(levels):
+    for level in reversed(levels[:-1]):  # the last has only roots, or cycles
         more = path.join(level.select("tree", "node", "up").where("up is not null"), ["tree", "node"]).select("tree", "leaf", "rank", F.col("up").alias("node"))
-        path = path.union(more).distinct()
+        path = materialize(path.union(more).distinct(), "path")
     return path.join(jump.select("tree", "node", "depth"), ["tree", "node"]).select("tree", "leaf", "rank", "node", "depth")
 
 

@@ -27,8 +27,8 @@ SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8
 _COUNT = np.array([0, *(n for n, _ in SELECTORS)])
 #: Ids of a block, unless one document has more.
 BLOCK_IDS = 1 << 16
-#: White-space separated strings that a worker keeps encoded; the memo is emptied when full.
-MEMO = 1_000_000
+#: White-space separated strings in each of the two halves of what a worker keeps encoded.
+MEMO = 300_000
 
 
 def pack(ids: np.ndarray) -> np.ndarray:
@@ -112,6 +112,10 @@ def unpack(words: np.ndarray, has_escapes: bool = True) -> np.ndarray:
 _STOP = re.compile(rb"(?:(?<=[a-z0-9])|(?<=\xc3[\xa0-\xb6\xb8-\xbf]))([.,!?])(?=[ \n])")
 
 
+#: Lower-case ASCII letters and a-grave to y-diaeresis: words that are one piece whatever the normalizer does.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+")
+
+
 def _spaced(text: bytes) -> bytes:
     """The text with A-Z lowered and single stops set apart from words, which makes fewer distinct strings and the same ids; unchanged where a special token may be."""
     return text if b"<|" in text else _STOP.sub(rb" \1", text.lower())
@@ -125,14 +129,39 @@ class WordEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.memo: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        vocab = self.tok.get_vocab()
+        self.is_end = np.zeros(max(vocab.values()) + 1, bool)
+        self.is_end[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
+
+    def _encode_words(self, words: list[bytes]) -> None:
+        """Encode words of letters in runs: each is one piece, whose last token alone carries the end-of-word mark."""
+        for at in range(0, len(words), 8192):
+            some = words[at : at + 8192]
+            ids = np.array(self.tok.encode(b" ".join(some).decode(), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.is_end[ids]) + 1
+            if len(ends) != len(some):
+                continue  # the caller encodes these one by one
+            raw, last = ids.tobytes(), 0
+            for w, end in zip(some, (4 * ends).tolist(), strict=True):
+                self.memo[w] = raw[last:end]
+                last = end
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
         parts = [_spaced(t or b"").split() for t in texts]
         memo = self.memo
         new = list({w for p in parts for w in p}.difference(memo))
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = list({w for p in parts for w in p})
+        if len(memo) + len(new) > MEMO:  # the older half goes; what is still used comes back from it
+            self.older, self.memo = memo, {}
+            memo, new = self.memo, list({w for p in parts for w in p})
+        if self.older:
+            older = self.older
+            memo.update((w, older[w]) for w in new if w in older)
+            new = [w for w in new if w not in memo]
+        plain = [w for w in new if _LETTERS.fullmatch(w)]
+        if len(plain) > 1:
+            self._encode_words(plain)
+            new = [w for w in new if w not in memo]
         for at in range(0, len(new), 4096):
             some = new[at : at + 4096]
             for w, e in zip(some, self.tok.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
