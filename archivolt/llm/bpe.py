@@ -75,6 +75,9 @@ def sufficient_lookahead(merges: list[tuple[int, int, int]], length: dict[int, i
     return longest
 
 
+_NONE, _ID = 1 << 62, (1 << 32) - 1
+
+
 class BytePairTransducer:
     """Encoder and decoder of one vocabulary file of the byte-level kind."""
 
@@ -94,7 +97,7 @@ class BytePairTransducer:
             if len(s) == 1:
                 self.single[stand_in[s]] = i
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
-        self.merge = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.merge = {(vocab[a], vocab[b]): rank << 32 | vocab[a + b] for rank, (a, b) in enumerate(pairs)}  # the rank above, the result below
         ordered = [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
         self.lookahead = sufficient_lookahead(ordered, {i: len(b) for i, b in self.bytes_of.items()})
         self.longest = max(len(self.bytes_of[i]) for i in vocab.values())
@@ -108,26 +111,20 @@ class BytePairTransducer:
         self.pieces = regex.compile(_PIECES).findall
 
     def merged(self, ids: list[int]) -> list[int]:
-        """Merges of a short run of ids, lowest rank first, leftmost first."""
-        merge = self.merge.get
-        while len(ids) > 1:
-            best, at = None, -1
-            for i in range(len(ids) - 1):
-                m = merge((ids[i], ids[i + 1]))
-                if m is not None and (best is None or m < best):
-                    best, at = m, i
-            if best is None:
+        """Merges of a short run of ids, lowest rank first, leftmost first. Changes ids in place."""
+        get = self.merge.get
+        ranks = [get(p, _NONE) for p in zip(ids, ids[1:], strict=False)]
+        while ranks:
+            best = min(ranks)
+            if best == _NONE:
                 break
-            # every place of this pair, from the left
-            a, b, i, out = ids[at], ids[at + 1], at, ids[:at]
-            while i < len(ids):
-                if i + 1 < len(ids) and ids[i] == a and ids[i + 1] == b:
-                    out.append(best[1])
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+            i = ranks.index(best)
+            ids[i] = best & _ID
+            del ids[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = get((ids[i], ids[i + 1]), _NONE)
+            if i:
+                ranks[i - 1] = get((ids[i - 1], ids[i]), _NONE)
         return ids
 
     def stream(self, data: Iterable[bytes]) -> Iterator[int]:

@@ -71,7 +71,8 @@ def ranked_paths(nodes: DataFrame, keep: int = 1) -> DataFrame:
             break
         left = now
         above = jump.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("d2"), F.col("total").alias("t2"))
-        jump = materialize(jump.join(above, ["tree", "up"], "left").select("tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("d2", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("t2", F.lit(0.0))).alias("total")), "jump")
+        moved = jump.where("up is not null").join(above, ["tree", "up"]).select("tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.col("d2")).alias("depth"), (F.col("total") + F.col("t2")).alias("total"))
+        jump = materialize(jump.where("up is null").union(moved), "jump")
     leaves = jump.where("up is null").join(n.select("tree", F.col("parent").alias("node")).where("node is not null"), ["tree", "node"], "left_anti")
     best = W.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("depth")), F.desc("depth"), "node")
     path = materialize(leaves.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= keep).select("tree", F.col("node").alias("leaf"), "rank", "node"), "leaves")

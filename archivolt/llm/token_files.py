@@ -109,16 +109,12 @@ def unpack(words: np.ndarray, has_escapes: bool = True) -> np.ndarray:
     return out
 
 
-_STOP = re.compile(rb"(?:(?<=[a-z0-9])|(?<=\xc3[\xa0-\xb6\xb8-\xbf]))([.,!?])(?=[ \n])")
-
-
 #: Lower-case ASCII letters and a-grave to y-diaeresis: words that are one piece whatever the normalizer does.
 _LETTERS = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+")
-
-
-def _spaced(text: bytes) -> bytes:
-    """The text with A-Z lowered and single stops set apart from words, which makes fewer distinct strings and the same ids; unchanged where a special token may be."""
-    return text if b"<|" in text else _STOP.sub(rb" \1", text.lower())
+#: Single stops after such a word are pieces of their own.
+_STOPS = b".,!?;:"
+#: Words encoded as one run.
+RUN = 256
 
 
 class WordEncoder:
@@ -130,40 +126,47 @@ class WordEncoder:
         self.tok = Tokenizer.from_file(path)
         self.memo: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.stops = {c: np.array(self.tok.encode(chr(c), add_special_tokens=False).ids, "<u4").tobytes() for c in _STOPS}
         vocab = self.tok.get_vocab()
         self.is_end = np.zeros(max(vocab.values()) + 1, bool)
         self.is_end[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
 
     def _encode_words(self, words: list[bytes]) -> None:
         """Encode words of letters in runs: each is one piece, whose last token alone carries the end-of-word mark."""
-        for at in range(0, len(words), 8192):
-            some = words[at : at + 8192]
-            ids = np.array(self.tok.encode(b" ".join(some).decode(), add_special_tokens=False).ids, "<u4")
+        runs = [words[at : at + RUN] for at in range(0, len(words), RUN)]
+        got = [e for at in range(0, len(runs), 16) for e in self.tok.encode_batch_fast([b" ".join(r).decode() for r in runs[at : at + 16]], add_special_tokens=False)]
+        for some, e in zip(runs, got, strict=True):
+            ids = np.array(e.ids, "<u4")
             ends = np.flatnonzero(self.is_end[ids]) + 1
             if len(ends) != len(some):
-                continue  # the caller encodes these one by one
+                continue  # the caller encodes them one by one
             raw, last = ids.tobytes(), 0
             for w, end in zip(some, (4 * ends).tolist(), strict=True):
                 self.memo[w] = raw[last:end]
                 last = end
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
-        parts = [_spaced(t or b"").split() for t in texts]
+        # A-Z are lowered at once, which makes fewer distinct strings and the same ids; but not where a special token may be
+        parts = [(t if b"<|" in t else t.lower()).split() for t in (t or b"" for t in texts)]
         memo = self.memo
-        new = list({w for p in parts for w in p}.difference(memo))
+        new = {w for p in parts for w in p if w not in memo}
         if len(memo) + len(new) > MEMO:  # the older half goes; what is still used comes back from it
             self.older, self.memo = memo, {}
-            memo, new = self.memo, list({w for p in parts for w in p})
+            memo, new = self.memo, set().union(*parts)
         if self.older:
             older = self.older
             memo.update((w, older[w]) for w in new if w in older)
-            new = [w for w in new if w not in memo]
-        plain = [w for w in new if _LETTERS.fullmatch(w)]
-        if len(plain) > 1:
-            self._encode_words(plain)
-            new = [w for w in new if w not in memo]
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
+            new = new.difference(memo)
+        plain = {w for w in new if _LETTERS.fullmatch(w)}
+        stopped = [w for w in new if w[-1] in _STOPS and _LETTERS.fullmatch(w, 0, len(w) - 1)]
+        plain.update(w[:-1] for w in stopped)
+        self._encode_words([w for w in plain if w not in memo])
+        for w in stopped:
+            if (head := memo.get(w[:-1])) is not None:
+                memo[w] = head + self.stops[w[-1]]
+        rest = [w for w in new if w not in memo]
+        for at in range(0, len(rest), 4096):
+            some = rest[at : at + 4096]
             for w, e in zip(some, self.tok.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
                 memo[w] = np.array(e.ids, "<u4").tobytes()
         return [np.frombuffer(b"".join(map(memo.__getitem__, p)), "<u4") for p in parts]
