@@ -28,7 +28,7 @@ _COUNT = np.array([0, *(n for n, _ in SELECTORS)])
 #: Ids of a block, unless one document has more.
 BLOCK_IDS = 1 << 16
 #: White-space separated strings in each of the two halves of what a worker keeps encoded.
-MEMO = 300_000
+MEMO = 200_000
 
 
 def pack(ids: np.ndarray) -> np.ndarray:
@@ -149,10 +149,13 @@ class WordEncoder:
         # A-Z are lowered at once, which makes fewer distinct strings and the same ids; but not where a special token may be
         parts = [(t if b"<|" in t else t.lower()).split() for t in (t or b"" for t in texts)]
         memo = self.memo
-        new = {w for p in parts for w in p if w not in memo}
+        # one look-up for each word: the few that are unknown are filled in below
+        known = [list(map(memo.get, p)) for p in parts]
+        gaps = [[i for i, v in enumerate(k) if v is None] for k in known]
+        new = {p[i] for p, g in zip(parts, gaps, strict=True) for i in g}
         if len(memo) + len(new) > MEMO:  # the older half goes; what is still used comes back from it
             self.older, self.memo = memo, {}
-            memo, new = self.memo, set().union(*parts)
+            memo = self.memo
         if self.older:
             older = self.older
             memo.update((w, older[w]) for w in new if w in older)
@@ -169,7 +172,10 @@ class WordEncoder:
             some = rest[at : at + 4096]
             for w, e in zip(some, self.tok.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
                 memo[w] = np.array(e.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join(map(memo.__getitem__, p)), "<u4") for p in parts]
+        for p, k, g in zip(parts, known, gaps, strict=True):
+            for i in g:
+                k[i] = memo[p[i]]
+        return [np.frombuffer(b"".join(k), "<u4") for k in known]
 
 
 @lru_cache(maxsize=2)
