@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 #: Pre-tokens that a worker keeps encoded; the memo is emptied when full.
-MEMO = 1_000_000
+MEMO = 400_000
 _SPACE = "\t-\r \x85\xa0  -     　"
 #: White space runs and the rest, cut as the pre-tokenizer cuts at white space.
 _CHUNKS = f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"

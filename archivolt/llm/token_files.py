@@ -109,10 +109,10 @@ def unpack(words: np.ndarray, has_escapes: bool = True) -> np.ndarray:
     return out
 
 
-#: Lower-case ASCII letters and a-grave to y-diaeresis: words that are one piece whatever the normalizer does.
-_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+")
-#: Single stops after such a word are pieces of their own.
-_STOPS = b".,!?;:"
+#: Letters of ASCII and Latin-1: such a word is one piece, whatever the normalizer does.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+#: Such a word and a run of ASCII signs: two pieces.
+_SIGNED = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]+)")
 #: Words encoded as one run.
 RUN = 256
 
@@ -126,7 +126,7 @@ class WordEncoder:
         self.tok = Tokenizer.from_file(path)
         self.memo: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
-        self.stops = {c: np.array(self.tok.encode(chr(c), add_special_tokens=False).ids, "<u4").tobytes() for c in _STOPS}
+        self.signs: dict[bytes, bytes] = {}
         vocab = self.tok.get_vocab()
         self.is_end = np.zeros(max(vocab.values()) + 1, bool)
         self.is_end[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
@@ -145,6 +145,14 @@ class WordEncoder:
                 self.memo[w] = raw[last:end]
                 last = end
 
+    def _signs(self, run: bytes) -> bytes:
+        got = self.signs.get(run)
+        if got is None:
+            got = np.array(self.tok.encode(run.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            if len(self.signs) < 10_000:
+                self.signs[run] = got
+        return got
+
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
         # A-Z are lowered at once, which makes fewer distinct strings and the same ids; but not where a special token may be
         parts = [(t if b"<|" in t else t.lower()).split() for t in (t or b"" for t in texts)]
@@ -161,12 +169,12 @@ class WordEncoder:
             memo.update((w, older[w]) for w in new if w in older)
             new = new.difference(memo)
         plain = {w for w in new if _LETTERS.fullmatch(w)}
-        stopped = [w for w in new if w[-1] in _STOPS and _LETTERS.fullmatch(w, 0, len(w) - 1)]
-        plain.update(w[:-1] for w in stopped)
+        signed = [m for w in new if w not in plain and (m := _SIGNED.fullmatch(w))]
+        plain.update(m[1] for m in signed)
         self._encode_words([w for w in plain if w not in memo])
-        for w in stopped:
-            if (head := memo.get(w[:-1])) is not None:
-                memo[w] = head + self.stops[w[-1]]
+        for m in signed:
+            if (head := memo.get(m[1])) is not None:
+                memo[m[0]] = head + self._signs(m[2])
         rest = [w for w in new if w not in memo]
         for at in range(0, len(rest), 4096):
             some = rest[at : at + 4096]
