@@ -28,7 +28,7 @@ _COUNT = np.array([0, *(n for n, _ in SELECTORS)])
 #: Ids of a block, unless one document has more.
 BLOCK_IDS = 1 << 16
 #: White-space separated strings in each of the two halves of what a worker keeps encoded.
-MEMO = 200_000
+MEMO = 450_000
 
 
 def pack(ids: np.ndarray) -> np.ndarray:
@@ -37,7 +37,7 @@ def pack(ids: np.ndarray) -> np.ndarray:
     n = len(ids)
     if not n:
         return np.empty(0, np.uint64)
-    step, sel = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.uint64)
+    step, sel = np.zeros(n + 1, np.uint8), np.zeros(n + 1, np.uint8)
     most = int(ids.max())
     for s in range(len(SELECTORS), 0, -1):
         count, bits = SELECTORS[s - 1]
@@ -53,13 +53,13 @@ def pack(ids: np.ndarray) -> np.ndarray:
         at = good[: len(good) - count + 1][good[count - 1 :] - good[: len(good) - count + 1] == count - 1]
         step[at], sel[at] = count, s
     step[:n][step[:n] == 0] = 1  # escapes
-    hops, i, jump = [], 0, step.tolist()
+    hops, i, jump = [], 0, step.tobytes()
     while i < n:
         hops.append(i)
         i += jump[i]
     start = np.array(hops)
     kind = sel[start]
-    words = kind << np.uint64(60)
+    words = kind.astype(np.uint64) << np.uint64(60)
     for s in np.unique(kind):
         if not s:
             continue
@@ -240,7 +240,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 1, shards: int | None =
     approximate quantiles of doc_id; a shard is written by one task and holds all rows of an id.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 250)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     marks = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [i / shards for i in range(1, shards)] or [0.5], 10000).alias("q")).first()["q"] or []
     bounds = sorted(set(marks))
