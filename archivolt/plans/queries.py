@@ -20,7 +20,7 @@ from . import volumes as vol
 
 VOLUME = 65536
 FIXED_TIME = 1700000000
-RESUME = 777777
+RESUME = 200001
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
