@@ -53,19 +53,29 @@ def header_parts(e: dict[str, Column]) -> tuple[Column, Column]:
 HEADER_COLUMNS = ("arc_path", "size", "mtime", "mode", "uid", "gid", "uname", "gname", "is_dir", "is_symlink", "linkname")
 
 
+def filled_bytes(e: dict[str, Column]) -> Column:
+    """The hex of a header's fields without their padding, which adds nothing to the checksum."""
+    name, prefix = ustar_split(stored_path(e["arc_path"], e["is_dir"]))
+    link = F.when(e["is_symlink"], e["linkname"]).otherwise(F.lit(""))
+    kind = F.when(e["is_dir"], "35").when(e["is_symlink"], "32").otherwise("30")
+    texts = [F.hex(F.encode(x, "UTF-8")) for x in (name, prefix, link, e["uname"], e["gname"])]
+    numbers = [octal_field(e["mode"], 8), octal_field(e["uid"], 8), octal_field(e["gid"], 8), size_field(e["size"]), octal_field(e["mtime"], 12)]
+    return F.concat(*texts, *numbers, kind, F.lit("7573746172003030"))
+
+
 def header_checksum(e: dict[str, Column]) -> Column:
     """Sum of the header's bytes, the checksum field read as eight spaces."""
-    return F.transform(F.array(F.concat(*header_parts(e))), byte_sum)[0] + 8 * 32
+    return F.transform(F.array(filled_bytes(e)), byte_sum)[0] + 8 * 32
 
 
 def header_hex(e: dict[str, Column]) -> Column:
     before, after = header_parts(e)
 
     def whole(p: Column) -> Column:
-        total = byte_sum(F.concat(p["before"], p["after"])) + 8 * 32
+        total = byte_sum(p["filled"]) + 8 * 32
         return F.lower(F.concat(p["before"], F.hex(F.lpad(F.conv(total.cast("string"), 10, 8), 6, "0")), F.lit("0020"), p["after"]))
 
-    return F.transform(F.array(F.struct(before.alias("before"), after.alias("after"))), whole)[0]
+    return F.transform(F.array(F.struct(before.alias("before"), after.alias("after"), filled_bytes(e).alias("filled"))), whole)[0]
 
 
 def entry_columns(prefix: str = "") -> dict[str, Column]:
