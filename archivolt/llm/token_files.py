@@ -8,7 +8,6 @@ on whole arrays. Shards are Parquet tables of block rows: Spark's commit protoco
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -16,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,8 +27,6 @@ SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8
 _COUNT = np.array([0, *(n for n, _ in SELECTORS)])
 #: Ids of a block, unless one document has more.
 BLOCK_IDS = 1 << 16
-#: White-space separated strings in each of the two halves of what a worker keeps encoded.
-MEMO = 450_000
 
 
 def pack(ids: np.ndarray) -> np.ndarray:
@@ -109,98 +107,114 @@ def unpack(words: np.ndarray, has_escapes: bool = True) -> np.ndarray:
     return out
 
 
-#: Letters of ASCII and Latin-1: such a word is one piece, whatever the normalizer does.
-_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
-#: Such a word and a run of ASCII signs: two pieces.
-_SIGNED = re.compile(rb"((?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]+)")
-#: Words encoded as one run.
-RUN = 256
+#: Letters of ASCII and Latin-1 as the lower-casing of A-Z leaves them: a word of these is one piece, whatever the normalizer does.
+_LETTERS = "".join(map(chr, [*range(0x61, 0x7B), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]))
+_WORD = "^[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+$"
+#: ASCII signs: a run of them after such a word is a piece of its own.
+_SIGNS = "".join(map(chr, [*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]))
+#: Words encoded as one run, and runs in one call.
+RUN, RUNS = 256, 16
+#: Bytes of text whose different words are found together.
+CHUNK_BYTES = 24 << 20
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizers file. Pieces never span white space, so strings between ASCII white space are encoded on their own and kept."""
+    """Ids of texts by a tokenizers file. Pieces never span white space, so the different strings between ASCII white space are encoded once for each chunk.
 
-    def __init__(self, path: str):
+    Splitting, finding the different words and putting ids in their places are Arrow's work on whole chunks; nothing is kept between chunks.
+    """
+
+    def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.memo: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-        self.signs: dict[bytes, bytes] = {}
         vocab = self.tok.get_vocab()
-        self.is_end = np.zeros(max(vocab.values()) + 1, bool)
+        most = max(vocab.values())
+        self.kind = np.dtype("<u2" if max(most, end_id) < 1 << 16 else "<u4")
+        self.end = pa.array([np.array([end_id], self.kind).tobytes()], pa.large_binary())
+        self.is_end = np.zeros(most + 1, bool)
         self.is_end[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
 
-    def _encode_words(self, words: list[bytes]) -> None:
-        """Encode words of letters in runs: each is one piece, whose last token alone carries the end-of-word mark."""
-        runs = [words[at : at + RUN] for at in range(0, len(words), RUN)]
-        got = [e for at in range(0, len(runs), 16) for e in self.tok.encode_batch_fast([b" ".join(r).decode() for r in runs[at : at + 16]], add_special_tokens=False)]
-        for some, e in zip(runs, got, strict=True):
-            ids = np.array(e.ids, "<u4")
-            ends = np.flatnonzero(self.is_end[ids]) + 1
-            if len(ends) != len(some):
-                continue  # the caller encodes them one by one
-            raw, last = ids.tobytes(), 0
-            for w, end in zip(some, (4 * ends).tolist(), strict=True):
-                self.memo[w] = raw[last:end]
-                last = end
-
-    def _signs(self, run: bytes) -> bytes:
-        got = self.signs.get(run)
-        if got is None:
-            got = np.array(self.tok.encode(run.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-            if len(self.signs) < 10_000:
-                self.signs[run] = got
-        return got
-
-    def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
+    def _each(self, words: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for at in range(0, len(words), 4096) for e in self.tok.encode_batch_fast(words[at : at + 4096], add_special_tokens=False)]
+
+    def _words(self, words: pa.StringArray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids and counts of words of letters, encoded in runs: each is one piece, whose last token alone carries the end-of-word mark."""
+        edges = np.minimum(np.arange(0, len(words) + RUN, RUN), len(words)).astype(np.int32)
+        runs = pc.binary_join(pa.ListArray.from_arrays(edges, words), " ").to_pylist()
+        ids, counts = [], []
+        for at in range(0, len(runs), RUNS):
+            for k, e in enumerate(self.tok.encode_batch_fast(runs[at : at + RUNS], add_special_tokens=False), at):
+                got = np.array(e.ids, self.kind)
+                ends = np.flatnonzero(self.is_end[got]) + 1
+                if len(ends) == edges[k + 1] - edges[k]:
+                    ids.append(got)
+                    counts.append(np.diff(ends, prepend=0))
+                else:  # one by one
+                    some = self._each(runs[k].split(" "))
+                    ids += some
+                    counts.append(np.array([len(x) for x in some], np.int64))
+        return ids, counts
+
+    def _ids(self, words: pa.StringArray) -> pa.LargeBinaryArray:
+        """The ids of each of different words, as bytes."""
+        letters = pc.match_substring_regex(words, _WORD).to_numpy(zero_copy_only=False)
+        first, others = np.flatnonzero(letters), np.flatnonzero(~letters)
+        ids, counts = self._words(words.take(pa.array(first)))
+        rest = self._each(words.take(pa.array(others)).to_pylist())
+        counts.append(np.array([len(x) for x in rest], np.int64))
+        bounds = np.cumsum(np.concatenate([[0], *counts]), dtype=np.int64) * self.kind.itemsize
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(words), [None, pa.py_buffer(bounds), pa.py_buffer(np.concatenate([np.empty(0, self.kind), *ids, *rest]))])
+        place = np.empty(len(words), np.int64)
+        place[first], place[others] = np.arange(len(first)), np.arange(len(first), len(words))
+        return coded.take(pa.array(place))
+
+    def encode(self, texts: pa.StringArray) -> tuple[np.ndarray, pa.BinaryArray]:
+        """For each text the number of its ids, and the ids, end id included, as unsigned integers of kind."""
+        texts = texts.fill_null("")
         # A-Z are lowered at once, which makes fewer distinct strings and the same ids; but not where a special token may be
-        parts = [(t if b"<|" in t else t.lower()).split() for t in (t or b"" for t in texts)]
-        memo = self.memo
-        # one look-up for each word: the few that are unknown are filled in below
-        known = [list(map(memo.get, p)) for p in parts]
-        gaps = [[i for i, v in enumerate(k) if v is None] for k in known]
-        new = {p[i] for p, g in zip(parts, gaps, strict=True) for i in g}
-        if len(memo) + len(new) > MEMO:  # the older half goes; what is still used comes back from it
-            self.older, self.memo = memo, {}
-            memo = self.memo
-        if self.older:
-            older = self.older
-            memo.update((w, older[w]) for w in new if w in older)
-            new = new.difference(memo)
-        plain = {w for w in new if _LETTERS.fullmatch(w)}
-        signed = [m for w in new if w not in plain and (m := _SIGNED.fullmatch(w))]
-        plain.update(m[1] for m in signed)
-        self._encode_words([w for w in plain if w not in memo])
-        for m in signed:
-            if (head := memo.get(m[1])) is not None:
-                memo[m[0]] = head + self._signs(m[2])
-        rest = [w for w in new if w not in memo]
-        for at in range(0, len(rest), 4096):
-            some = rest[at : at + 4096]
-            for w, e in zip(some, self.tok.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                memo[w] = np.array(e.ids, "<u4").tobytes()
-        for p, k, g in zip(parts, known, gaps, strict=True):
-            for i in g:
-                k[i] = memo[p[i]]
-        return [np.frombuffer(b"".join(k), "<u4") for k in known]
+        low, special = pc.ascii_lower(texts), pc.match_substring(texts, "<|")
+        parts = pc.ascii_split_whitespace(pc.if_else(special, texts, low) if pc.any(special).as_py() else low)
+        coded = parts.flatten().dictionary_encode()
+        ends = parts.offsets.to_numpy()[1:] - parts.offsets[0].as_py()
+        words = coded.dictionary
+        heads = pc.ascii_rtrim(words, characters=_SIGNS)
+        split = pc.match_substring_regex(heads, _WORD)
+        tails = pc.if_else(split, pc.utf8_ltrim(words, characters=_LETTERS), "").dictionary_encode()
+        heads = pc.if_else(split, heads, words).dictionary_encode()
+        ids = pc.binary_join_element_wise(self._ids(heads.dictionary).take(heads.indices), self._ids(tails.dictionary).take(tails.indices), pa.scalar(b"", pa.large_binary()))
+        out = pa.concat_arrays([ids, self.end]).take(pa.array(np.insert(coded.indices.to_numpy(), ends, len(ids))))
+        at = np.frombuffer(out.buffers()[1], np.int64, len(out) + 1)
+        bounds = np.concatenate([at[:1], at[ends + np.arange(1, len(ends) + 1)]]).astype(np.int32)
+        return np.diff(bounds) // self.kind.itemsize, pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(bounds), out.buffers()[2]])
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, end_id: int) -> WordEncoder:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return WordEncoder(path)
+    return WordEncoder(path, end_id)
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= CHUNK_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if size:
+        yield pa.concat_batches(held)
 
 
 def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path)
-        for batch in batches:
-            ids = e.encode(batch.column(2).to_pylist())
-            full = [np.append(x, np.uint32(end_id)) for x in ids]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in full], pa.int64()), pa.array([x.astype("<u2" if x.max() < 1 << 16 else "<u4").tobytes() for x in full], pa.binary())], names=["shard", "doc_id", "n", "ids"])
+        e = encoder(path, end_id)
+        for chunk in _chunks(batches):
+            counts, ids = e.encode(chunk.column(2))
+            yield pa.RecordBatch.from_arrays([chunk.column(0), chunk.column(1), pa.array(counts, pa.int64()), ids], names=["shard", "doc_id", "n", "ids"])
 
     return run
 
@@ -240,14 +254,14 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 1, shards: int | None =
     approximate quantiles of doc_id; a shard is written by one task and holds all rows of an id.
     """
     spark = docs.sparkSession
-    small_batches(spark, 250)
+    small_batches(spark, 2000)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     marks = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [i / shards for i in range(1, shards)] or [0.5], 10000).alias("q")).first()["q"] or []
     bounds = sorted(set(marks))
     # bounds are sorted: the shard is the number of bounds below doc_id, found by the array's own order
     shard = F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<long>"), lambda b: b < F.col("doc_id"))), F.lit(0)) if bounds else F.lit(0)
     shard = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(shard).cast("int")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("t")).select(shard.alias("shard"), "doc_id", "t")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.make_valid_utf8("text").alias("t")).select(shard.alias("shard"), "doc_id", "t")
     coded = rows.mapInArrow(_encode(path, end_id), "shard int, doc_id long, n long, ids binary")
     dealt = coded.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "n", "ids")
     out = f"{shared_dir(spark)}/archivolt/token-ids-{uuid.uuid4().hex}"
