@@ -115,7 +115,9 @@ _SIGNS = "".join(map(chr, [*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B,
 #: Words encoded as one run, and runs in one call.
 RUN, RUNS = 256, 16
 #: Bytes of text whose different words are found together.
-CHUNK_BYTES = 24 << 20
+CHUNK_BYTES = 12 << 20
+#: Rows of the batches between Spark and Python.
+BATCH_ROWS = 250
 
 
 class WordEncoder:
@@ -214,7 +216,11 @@ def _encode(path: str, end_id: int):
         e = encoder(path, end_id)
         for chunk in _chunks(batches):
             counts, ids = e.encode(chunk.column(2))
-            yield pa.RecordBatch.from_arrays([chunk.column(0), chunk.column(1), pa.array(counts, pa.int64()), ids], names=["shard", "doc_id", "n", "ids"])
+            out = pa.RecordBatch.from_arrays([chunk.column(0), chunk.column(1), pa.array(counts, pa.int64()), ids], names=["shard", "doc_id", "n", "ids"])
+            del chunk, counts, ids
+            pa.default_memory_pool().release_unused()
+            for at in range(0, out.num_rows, BATCH_ROWS):
+                yield out.slice(at, BATCH_ROWS)
 
     return run
 
@@ -254,7 +260,7 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 1, shards: int | None =
     approximate quantiles of doc_id; a shard is written by one task and holds all rows of an id.
     """
     spark = docs.sparkSession
-    small_batches(spark, 2000)
+    small_batches(spark, BATCH_ROWS)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     marks = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [i / shards for i in range(1, shards)] or [0.5], 10000).alias("q")).first()["q"] or []
     bounds = sorted(set(marks))
