@@ -85,6 +85,12 @@ def track_at(tracks: DataFrame, offset: int) -> DataFrame:
     return tracks.where(contains(F.col("start_offset"), F.col("end_offset"), F.lit(offset)))
 
 
+def tracks_at(tracks: DataFrame, offsets) -> DataFrame:
+    """byte and the entry that holds it, for each of a few offsets, by one pass over the entries; an offset that no entry holds has no row."""
+    inside = F.filter(F.array(*map(F.lit, offsets)).cast("array<long>"), lambda o: contains(F.col("start_offset"), F.col("end_offset"), o))
+    return tracks.select(F.explode(inside).alias("byte"), *tracks.columns)
+
+
 def check_offset(offset: int, total: int) -> None:
     if not 0 <= offset < total:
         raise OffsetError(f"offset {offset} is outside the stream of {total} bytes")

@@ -267,16 +267,12 @@ def fingerprint(spark, sf):
 
 
 _POINTS = (0, 511, 512, 22000, 70000, 1234567)
+_RESUMES = tuple(range(0, 3_000_000, 41_003))
 
 
 @query(f"WITH {LAY_SQL} SELECT p AS byte, arc_path FROM t, (SELECT unnest({list(_POINTS)}) AS p) WHERE start_offset <= p AND end_offset > p")
 def point_lookup(spark, sf):
-    t = tracks(spark, sf)
-    out = None
-    for p in _POINTS:
-        row = lay.track_at(t, p).select(F.lit(p).cast("long").alias("byte"), "arc_path")
-        out = row if out is None else out.union(row)
-    return out
+    return lay.tracks_at(tracks(spark, sf), _POINTS).select("byte", "arc_path")
 
 
 @query(f"WITH {LAY_SQL} SELECT arc_path, start_offset FROM t WHERE end_offset > {RESUME}")
@@ -427,14 +423,12 @@ def root_structure_diff(spark, sf):
     return integrity.root_difference(t, t.select("rel_path").union(more), DEFAULT_EXCLUDES)
 
 
-@query(f"WITH {LAY_SQL}{_NOW_SQL} SELECT p AS byte, arc_path, violation FROM (SELECT unnest({list(_POINTS)}) AS p) JOIN t ON start_offset <= p AND end_offset > p JOIN bad USING (arc_path) WHERE violation IS NOT NULL")
+@query(f"WITH {LAY_SQL}{_NOW_SQL} SELECT p AS byte, arc_path, violation FROM (SELECT unnest({list(_RESUMES)}) AS p) JOIN t ON start_offset <= p AND end_offset > p LEFT JOIN (SELECT * FROM bad WHERE violation IS NOT NULL) USING (arc_path)")
 def resume_point_check(spark, sf):
     t = tracks(spark, sf)
-    out = None
-    for p in _POINTS:
-        row = integrity.violations(lay.track_at(t, p), _now(t)).select(F.lit(p).cast("long").alias("byte"), "arc_path", "violation")
-        out = row if out is None else out.union(row)
-    return out
+    found = lay.tracks_at(t, _RESUMES)
+    bad = integrity.violations(found.drop("byte").dropDuplicates(["arc_path"]), _now(t))
+    return found.select("byte", "arc_path").join(bad, "arc_path", "left").select("byte", "arc_path", "violation")
 
 
 @query(f"WITH {INV_SQL}, c AS (SELECT arc_path AS a, size AS s, mtime AS m, md5(arc_path) AS h FROM inv WHERE mtime % 3 <> 0) SELECT arc_path, CASE WHEN NOT is_dir AND NOT is_symlink THEN h END AS md5sum, NOT is_dir AND NOT is_symlink AND h IS NOT NULL AS hit FROM inv LEFT JOIN c ON arc_path = a AND size = s AND mtime = m")
