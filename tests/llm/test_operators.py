@@ -157,6 +157,27 @@ def test_token_files(spark):
     assert sorted((r["start"], r["n_tokens"]) for r in same) == [(0, 2), (2, 2), (4, 2)]
 
 
+def test_word_encoder_in_chunks(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ref = Tokenizer.from_file(path)
+    rng = random.Random(11)
+    parts = [*"abzÀÖ×÷ßÿé!.,'<|>&#@~^_-0 9\t\n\x0b\x0c\x1c\x85\xa0́İΣſKﬁ日🔥", "<|endoftext|>", "don't", "ABC", "\x00", "</w>", "  "]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 50))) for _ in range(3000)] + [None, "", " ", "x" * 9000, "word, " * 20000]
+    monkeypatch.setattr(token_files, "CHUNK_BYTES", 20_000)
+    monkeypatch.setattr(token_files, "BATCH_ROWS", 7)
+    rows = pa.record_batch([pa.array([0] * len(texts), pa.int32()), pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["shard", "doc_id", "t"])
+    for end_id, width in ((1, 2), (70_000, 4)):
+        out = list(token_files._encode(path, end_id)(iter([rows.slice(0, 0), *(rows.slice(at, 100) for at in range(0, len(texts), 100))])))
+        assert all(b.num_rows <= 7 for b in out)
+        got = pa.Table.from_batches(out).to_pydict()
+        assert got["doc_id"] == list(range(len(texts)))
+        for t, n, ids in zip(texts, got["n"], got["ids"], strict=True):
+            assert n * width == len(ids) and np.frombuffer(ids, f"<u{width}").tolist() == [*ref.encode(t or "", add_special_tokens=False).ids, end_id]
+
+
 def test_embedding_join(spark):
     rng = np.random.default_rng(4)
     centre = rng.standard_normal((3, 64))
