@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_broadcast
+from .common import materialize, maybe_broadcast
 
 WINDOW = 13
 #: Of a document's words, one in DIRTY hit is contaminated.
@@ -19,6 +19,8 @@ DIRTY = 20
 #: Most benchmark windows that are broadcast; with more, Spark shuffles the lookups.
 SET_ROWS = 1_000_000
 _GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same in a text that keeps its capitals.
+_SIGNS = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -105,6 +107,34 @@ def scan(docs: DataFrame, bench: DataFrame, window: int = WINDOW, dirty: int = D
         wins.unpersist()
 
 
+def _same(docs: DataFrame) -> Column:
+    return docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_k"))
+
+
+def without_hits(docs: DataFrame, bench: DataFrame, window: int = WINDOW, dirty: int = DIRTY) -> DataFrame:
+    """docs without contaminated documents, and with the hit words of all others cut out, each with the signs after it; the rest of the text stays as it is.
+
+    What was cut is judged again until nothing is hit, since the words around a cut can make a window. n_chars, where there is one, is the new length.
+    """
+    kept = None
+    while True:
+        found = scan(docs, bench, window, dirty).where("n_hit > 0").groupBy(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"))
+        found = materialize(found.agg(F.first("hits").alias("_hits"), F.first("contaminated").alias("_bad")), "hits")
+        n = found.count()
+        if not n:
+            return docs if kept is None else kept.union(docs)
+        clean = docs.join(maybe_broadcast(found.select("_d", "_k"), n), _same(docs), "left_anti")
+        kept = clean if kept is None else kept.union(clean)
+        spans = found.where("not _bad").select("_d", "_k", "_hits")
+        n_spans = spans.agg(F.coalesce(F.sum(F.size("_hits")), F.lit(0))).first()[0]
+        words = F.regexp_extract_all("text", F.lit(f"[^{_SIGNS}]+[{_SIGNS}]*"), F.lit(0))
+        left = F.filter(words, lambda x, i: ~F.exists("_hits", lambda h: (i >= h["p"]) & (i < h["p"] + h["length"])))
+        cut = docs.join(maybe_broadcast(spans, n_spans), _same(docs)).withColumn("text", F.concat(F.regexp_extract("text", f"^[{_SIGNS}]*", 0), F.array_join(left, "")))
+        if "n_chars" in docs.columns:
+            cut = cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+        docs = materialize(cut.select(*docs.columns), "cut")
+
+
 def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, dirty: int = DIRTY, remove: str = "documents") -> DataFrame:
     """docs without contaminated documents, or (remove="spans") with the hit words of contaminated documents cut out.
 
@@ -112,7 +142,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, dirty
     """
     found = scan(docs, bench, window, dirty).where("contaminated")
     bad = found.groupBy(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).agg(F.first("hits").alias("_hits"))
-    same = docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_k"))
+    same = _same(docs)
     if remove == "documents":
         return docs.join(maybe_broadcast(bad.drop("_hits").persist()), same, "left_anti")
     left = lambda w: F.array_join(F.filter(w, lambda x, i: ~F.exists("_hits", lambda h: (i >= h["p"]) & (i < h["p"] + h["length"]))), " ")

@@ -63,3 +63,26 @@ def test_near_duplicate_stage_with_repeated_and_null_ids(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 1, 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, kept int")
     out = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
     assert out.columns == docs.columns and sorted(((r["doc_id"] or 0), r["text"] or "-") for r in out.collect()) == [(0, "-"), (0, "a b c d e f"), (1, "a b c d e f"), (3, "-"), (3, "-")]
+
+
+def test_decontamination_stage_leaves_no_passage(spark, tmp_path):
+    import corpus_pipeline
+    from archivolt.llm import decontaminate
+
+    a, b = [f"a{i}" for i in range(13)], [f"B{i}" for i in range(15)]
+    spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b).lower())], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    much = [f"Word{i}," for i in range(700)]
+    rows = {
+        1: ("«" + " ".join(much) + ".\n", None),  # nothing hit: as it is
+        2: ("- " + " ".join([*much[:9], *b, *much[9:]]) + "!\n", "- " + " ".join(much) + "!\n"),
+        3: (" ".join([*much, *a[:6], *b, *a[6:]]), " ".join(much) + " "),  # the words around the cut make a passage
+        4: (" ".join([*b, *much[:20]]), ""),  # contaminated
+        5: ("", None),
+        6: (None, None),
+    }
+    docs = spark.createDataFrame([(i, t, "en", "s", None if t is None else len(t)) for i, (t, _) in rows.items()] + [(None, rows[2][0], "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in out.collect()}
+    want = {i: t if w is None else w for i, (t, w) in rows.items() if w != ""} | {None: rows[2][1]}
+    assert out.columns == docs.columns and got == {i: (t, None if t is None else len(t)) for i, t in want.items()}
+    assert decontaminate.scan(out, spark.read.parquet(f"{tmp_path}/benchmark.parquet")).where("n_hit > 0").count() == 0
