@@ -116,7 +116,8 @@ def _sign(words: int):
                     sig[i, PLANES:] = parity_sketch(sets[i])
             d = np.array([(s.sum(dtype=np.uint64), _mix(s ^ _M2).sum(dtype=np.uint64)) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
             lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), lists(keys), lists(sig)], names=["id", "n", "d0", "d1", "bands", "sig"])
+            more = batch.columns[2:]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), lists(keys), lists(sig), *more], names=["id", "n", "d0", "d1", "bands", "sig", "key"][: 6 + len(more)])
 
     return run
 
@@ -160,8 +161,8 @@ def _alike(na: Column, nb: Column, sa: Column, sb: Column, percent: int) -> Colu
     return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (PERMS - sum(differ[1:], differ[0]) >= PERMS * floor) & (ham <= most) & (ham <= mean + SIGMAS * sd)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, text_key: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id, kept, and with text_key its text's xxhash64.
 
     Links documents whose shingle sets have 100 * intersection >= percent * union. Words are split at ASCII white
     space after lower-casing A-Z. A text of fewer than `words` words is one shingle; null, empty or blank texts have none and link with
@@ -170,8 +171,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(F.col(text_col), "UTF-8").alias("t"))
-    signed = hold(rows.mapInArrow(_sign(words), "id long, n long, d0 long, d1 long, bands array<long>, sig array<long>"))
+    key = [F.xxhash64(text_col).alias("key")] if text_key else []
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(F.col(text_col), "UTF-8").alias("t"), *key)
+    signed = hold(rows.mapInArrow(_sign(words), "id long, n long, d0 long, d1 long, bands array<long>, sig array<long>" + (", key long" if text_key else "")))
     classes = materialize(signed.where("n > 0 and id is not null").groupBy(F.col("d0").alias("c0"), F.col("d1").alias("c1")).agg(F.min("id").alias("rep")), "classes")
     reps = signed.join(classes, (F.col("id") == F.col("rep")) & (F.col("d0") == F.col("c0")) & (F.col("d1") == F.col("c1"))).select("id", "n", "bands", "sig")
     banded = reps.select("id", F.explode("bands").alias("key"))
@@ -214,6 +216,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comps = merged(comps, confirmed(cross.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b"))))
     home = classes.join(comps, F.col("rep") == F.col("id"), "left").select(F.col("c0").alias("d0"), F.col("c1").alias("d1"), F.coalesce("comp", "rep").alias("comp"))
     # the hot classes of exact copies are split by the skew join
-    found = signed.select("id", "n", "d0", "d1").join(home, ["d0", "d1"], "left")
+    own = ["key"] if text_key else []
+    found = signed.select("id", "n", "d0", "d1", *own).join(home, ["d0", "d1"], "left")
     comp = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("id")))
-    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(comp == F.col("id"), F.lit(False)).alias("kept"))
+    return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(comp == F.col("id"), F.lit(False)).alias("kept"), *(F.col(x).alias("text_key") for x in own))

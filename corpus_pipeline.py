@@ -7,6 +7,7 @@ but the last keep the columns of documents. A row without doc_id is no copy of a
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from archivolt.llm import bpe, decontaminate, near_dup, pii, toxicity
 from archivolt.llm.common import materialize, maybe_broadcast, table
@@ -20,10 +21,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the smallest doc_id (five words, similarity 0.8). Of rows that share a doc_id and stay, one is kept for each different text."""
-    found = near_dup.near_duplicates(docs)
-    gone = materialize(found.where("doc_id is not null and not kept").select("doc_id").distinct(), "gone")
-    # the copies are found by id, the repeated rows of one id and text by grouping what is left of such ids
-    left = docs.join(maybe_broadcast(gone), "doc_id", "left_anti").select(*docs.columns)
+    found = near_dup.near_duplicates(docs, text_key=True)
+    gone = materialize(found.where("doc_id is not null and not kept").select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).distinct(), "gone")
+    # the copies are found by id and text, the repeated rows of one id and text by grouping what is left of such ids
+    left = docs.join(maybe_broadcast(gone), (docs["doc_id"] == F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_k")), "left_anti").select(*docs.columns)
     twice = materialize(left.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
     n = twice.count()
     if not n:

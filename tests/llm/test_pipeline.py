@@ -86,3 +86,12 @@ def test_decontamination_stage_leaves_no_passage(spark, tmp_path):
     want = {i: t if w is None else w for i, (t, w) in rows.items() if w != ""} | {None: rows[2][1]}
     assert out.columns == docs.columns and got == {i: (t, None if t is None else len(t)) for i, t in want.items()}
     assert decontaminate.scan(out, spark.read.parquet(f"{tmp_path}/benchmark.parquet")).where("n_hit > 0").count() == 0
+
+
+def test_near_duplicate_stage_keeps_the_unique_text_of_a_repeated_id(spark):
+    import corpus_pipeline
+
+    rows = [(3, "a b c d e f"), (7, "A b c d e f"), (7, "g h i j k l"), (9, "g h i j k l"), (9, "m n o p q r")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert out.columns == docs.columns and sorted((r["doc_id"], r["text"]) for r in out.collect()) == [rows[0], rows[2], rows[4]]
