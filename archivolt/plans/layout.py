@@ -91,6 +91,13 @@ def tracks_at(tracks: DataFrame, offsets) -> DataFrame:
     return tracks.select(F.explode(inside).alias("byte"), *tracks.columns)
 
 
+def grid_points(tracks: DataFrame, step: int) -> DataFrame:
+    """byte and the entry that holds it, for every multiple of step inside an entry: the points grow with the stream, at the cost of one pass."""
+    first, last = F.ceil(F.col("start_offset") / step), F.floor((F.col("end_offset") - 1) / step)
+    points = F.when(first <= last, F.transform(F.sequence(first, last), lambda v: v * step))
+    return tracks.select(F.explode(points).alias("byte"), *tracks.columns)
+
+
 def check_offset(offset: int, total: int) -> None:
     if not 0 <= offset < total:
         raise OffsetError(f"offset {offset} is outside the stream of {total} bytes")

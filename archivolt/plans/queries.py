@@ -431,6 +431,15 @@ def resume_point_check(spark, sf):
     return found.select("byte", "arc_path").join(bad, "arc_path", "left").select("byte", "arc_path", "violation")
 
 
+@query(f"WITH {LAY_SQL}{_NOW_SQL} SELECT p AS byte, arc_path, violation FROM (SELECT unnest(range(0, (SELECT total FROM tot), {VOLUME})) AS p) JOIN t ON start_offset <= p AND end_offset > p LEFT JOIN (SELECT * FROM bad WHERE violation IS NOT NULL) USING (arc_path)")
+def resume_volume_check(spark, sf):
+    """As resume_point_check, at the first byte of every volume up to the stream's end."""
+    t = tracks(spark, sf)
+    found = lay.grid_points(t, VOLUME)
+    bad = integrity.violations(found.drop("byte").dropDuplicates(["arc_path"]), _now(t))
+    return found.select("byte", "arc_path").join(bad, "arc_path", "left").select("byte", "arc_path", "violation")
+
+
 @query(f"WITH {INV_SQL}, c AS (SELECT arc_path AS a, size AS s, mtime AS m, md5(arc_path) AS h FROM inv WHERE mtime % 3 <> 0) SELECT arc_path, CASE WHEN NOT is_dir AND NOT is_symlink THEN h END AS md5sum, NOT is_dir AND NOT is_symlink AND h IS NOT NULL AS hit FROM inv LEFT JOIN c ON arc_path = a AND size = s AND mtime = m")
 def hash_cache_probe(spark, sf):
     i = corpus(spark, sf)

@@ -49,6 +49,12 @@ def test_layout_does_not_depend_on_partitions(spark, n):
     assert layout.fingerprint(inv) == layout.fingerprint(inv.repartition(n))
 
 
+def test_resume_points_reach_the_end_of_the_stream(spark):
+    got = [r["byte"] for r in queries.Q["resume_volume_check"](spark, SF.replace("0.001", "0.01")).select("byte").collect()]
+    end = layout.total_size(queries.tracks(spark, SF.replace("0.001", "0.01"))).first()[0] - 1024
+    assert sorted(got) == list(range(0, end, queries.VOLUME)) and end > 3_000_000
+
+
 def test_path_vectors(spark):
     rows = [("folder/" + "a" * 101, "component too long"), ("/".join(("a" * 80, "b" * 80, "c" * 80, "d" * 20)), "path too long"), ("/".join(("a" * 90, "b" * 90, "c" * 70)), "path cannot be split"), ("/".join(("a" * 100, "b" * 54, "c" * 99)), None), ("🔥" * 25, None), ("🔥" * 26, "component too long"), ("x/" + "y" * 100, None)]
     df = spark.createDataFrame(rows, "p string, want string")
