@@ -240,11 +240,24 @@ def tape_layout_by_ranges(spark, sf):
     return lay.layout(corpus(spark, sf), one_task_rows=0).select("arc_path", "start_offset", "end_offset")
 
 
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem as an inventory, a file for each different line."""
+    b = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_quantity").cast("long") * 37).alias("size")).distinct()
+    path = F.concat_ws("/", F.lpad(F.col("l_orderkey").cast("string"), 12, "0"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))
+    return b.select(path.alias("arc_path"), "size", F.lit(False).alias("is_dir"), F.lit(False).alias("is_symlink"))
+
+
 @query("WITH b AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS BIGINT) * 37 AS size FROM lineitem), p AS (SELECT lpad(l_orderkey::VARCHAR, 12, '0') || '/' || l_linenumber || '/' || l_partkey || '/' || l_suppkey AS arc_path, sum(512 + size + (512 - size % 512) % 512)::BIGINT AS block FROM (SELECT DISTINCT * FROM b) GROUP BY 1) SELECT count(*) AS n, sum(block)::BIGINT + 1024 AS total_size, max(block) AS largest FROM p")
 def large_layout_size(spark, sf):
-    b = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_quantity").cast("long") * 37).alias("size")).distinct()
-    p = b.groupBy(F.concat_ws("/", F.lpad(F.col("l_orderkey").cast("string"), 12, "0"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("arc_path")).agg(F.sum(en.block_size(F.col("size"), F.lit(True))).alias("block"))
-    return p.agg(F.count("*").alias("n"), (F.sum("block") + 1024).alias("total_size"), F.max("block").alias("largest"))
+    t = lay.layout(_lines(spark, sf))
+    p = t.groupBy("arc_path").agg(F.sum(F.col("end_offset") - F.col("start_offset")).alias("block"), F.max("end_offset").alias("end"))
+    return p.agg(F.count("*").alias("n"), (F.max("end") + 1024).alias("total_size"), F.max("block").alias("largest"))
+
+
+@query("WITH p AS (SELECT lpad(l_orderkey::VARCHAR, 12, '0') || '/' || l_linenumber || '/' || l_partkey || '/' || l_suppkey AS arc_path, max(CAST(l_quantity AS BIGINT) * 37) AS size FROM lineitem GROUP BY 1), b AS (SELECT arc_path, 512 + size + (512 - size % 512) % 512 AS block FROM p) SELECT arc_path, (sum(block) OVER (ORDER BY arc_path) - block)::BIGINT AS start_offset, (sum(block) OVER (ORDER BY arc_path))::BIGINT AS end_offset FROM b")
+def large_layout(spark, sf):
+    """Offsets of the lineitem entries, beyond layout's one-task limit from sf0.1 on; of equal paths the largest size."""
+    return lay.layout(_lines(spark, sf).groupBy("arc_path", "is_dir", "is_symlink").agg(F.max("size").alias("size"))).select("arc_path", "start_offset", "end_offset")
 
 
 @query(f"WITH {LAY_SQL} SELECT arc_path, start_offset + 512 AS header_end, start_offset + 512 + size AS content_end FROM t")

@@ -55,6 +55,13 @@ def test_resume_points_reach_the_end_of_the_stream(spark):
     assert sorted(got) == list(range(0, end, queries.VOLUME)) and end > 3_000_000
 
 
+def test_large_layout_size_lays_out_its_entries(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(queries.lay, "layout", lambda inv, f=layout.layout: seen.append(inv) or f(inv, one_task_rows=0))
+    size, rows = (queries.Q[q](spark, SF) for q in ("large_layout_size", "large_layout"))
+    assert len(seen) == 2 and size.first()["n"] == rows.count()
+
+
 def test_path_vectors(spark):
     rows = [("folder/" + "a" * 101, "component too long"), ("/".join(("a" * 80, "b" * 80, "c" * 80, "d" * 20)), "path too long"), ("/".join(("a" * 90, "b" * 90, "c" * 70)), "path cannot be split"), ("/".join(("a" * 100, "b" * 54, "c" * 99)), None), ("🔥" * 25, None), ("🔥" * 26, "component too long"), ("x/" + "y" * 100, None)]
     df = spark.createDataFrame(rows, "p string, want string")
