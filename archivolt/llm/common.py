@@ -1,16 +1,22 @@
-"""Helpers that the operators share: reading, materialising, size-checked broadcast, connected components."""
+"""Helpers that the operators share: reading, tables in the shared folder, size-checked broadcast, look-ups of hot keys, components, fitting samples."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Rows of an id table (8 to 24 bytes a row) up to which it is broadcast; above it Spark shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a table is broadcast; above it Spark shuffles.
+BROADCAST_BYTES = 32 << 20
+#: A key is hot if it has more than this share of the rows; so there are at most as many hot keys as its inverse.
+HOT_SHARE = 1e-4
+#: Rows that a key may have in any case.
+COOL_ROWS = 64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,58 +24,144 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a temporary one where unset (tests)."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset, a temporary one, in local mode only."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("archivolt.shared.dir", None)
     if not where:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="archivolt-")
         spark.conf.set("archivolt.shared.dir", where)
     return where.rstrip("/")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: lineage is cut, and a lost executor costs no recomputation.
+def _path(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
-    At most two files for each core of the cluster: many small files would cost more than they hold.
-    """
-    path = f"{shared_dir(df.sparkSession)}/archivolt/{tag}-{uuid.uuid4().hex}"
-    df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism).write.parquet(path)
+
+def new_path(spark: SparkSession, tag: str) -> str:
+    """A new path in this application's part of the shared folder, which goes when the application ends."""
+    home = f"{shared_dir(spark)}/archivolt/{spark.sparkContext.applicationId}"
+    p, fs = _path(spark, home)
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return f"{home}/{tag}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it again: lineage is cut, and a lost executor costs no recomputation."""
+    path = path or new_path(df.sparkSession, tag)
+    df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def hold(df: DataFrame) -> DataFrame:
-    """Keep df on the executors' disks for several uses. A lost executor's partitions are computed again, so df must be a short way from a table."""
-    return df.persist(StorageLevel.DISK_ONLY)
+class Scratch:
+    """The tables that an operator writes on its way. They go when it ends; its result is a table of its own."""
+
+    def __init__(self, spark: SparkSession, tag: str):
+        self.spark, self.home = spark, new_path(spark, tag)
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *exc) -> None:
+        p, fs = _path(self.spark, self.home)
+        fs.delete(p, True)
+
+    def write(self, df: DataFrame, tag: str) -> DataFrame:
+        return materialize(df, tag, f"{self.home}/{tag}-{uuid.uuid4().hex}")
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches cut to `rows` rows. Spark bounds a batch's bytes (64 MB by default), this what is unpacked at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def maybe_broadcast(df: DataFrame, size: int) -> DataFrame:
+    """Broadcast df only where its counted bytes are within the limit; else leave the join to Spark."""
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
 
+def hot_keys(df: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """The hot keys of df, which has n rows; at most 1 / HOT_SHARE of them. Counts combine on the map side."""
+    return df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > max(COOL_ROWS, int(n * HOT_SHARE))).select(*keys)
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound what one Arrow batch holds in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 
+def lookup(df: DataFrame, keys: list[str], values: DataFrame, hot: DataFrame | None = None) -> DataFrame:
+    """df left-joined with values, which has each key once. Rows of hot keys never meet in one task: their few values are broadcast to them.
 
-def maybe_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast df only when its counted rows are within limit; else leave the join to Spark."""
-    rows = df.count() if rows is None else rows
-    return F.broadcast(df) if rows <= limit else df
+    df is read several times, so it should be a written table. Its keys, of fixed or small width, may be null; those find nothing.
+    """
+    hot = hot_keys(df, keys, df.count()) if hot is None else hot
+    known = hot.join(values, keys, "left").select(*(F.col(k).alias(f"_hot_{k}") for k in keys), *(c for c in values.columns if c not in keys))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_hot_{k}"))
+    known = F.broadcast(known)  # at most 1 / HOT_SHARE rows
+    held = df.join(known, same).drop(*(f"_hot_{k}" for k in keys))
+    rest = df.join(F.broadcast(known.select(*(f"_hot_{k}" for k in keys))), same, "left_anti").join(values, keys, "left")
+    return held.unionByName(rest)
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """docs as d (doc_id), k (a hash of the text) and the whole row as one struct `row`, so that no other name of docs can clash."""
+    return docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("k"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, text: Column | None = None) -> DataFrame:
+    """The columns of docs from `row`, with another text and its length in n_chars if text is given."""
+    new = {} if text is None else {"text": text, "n_chars": F.char_length(text).cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return rows.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
+
+
+def keyed(found: DataFrame) -> DataFrame:
+    """found (d, k, ...) as the right side of a join by `same`."""
+    return found.withColumnsRenamed({"d": "rd", "k": "rk"})
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def same(left: DataFrame, right: DataFrame) -> Column:
+    """The same id, null or not, and the same text."""
+    return left["d"].eqNullSafe(right["rd"]) & (left["k"] == right["rk"])
+
+
+def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """edges (a, b) -> (id, comp): every id of an edge with the smallest id that it reaches.
 
-    Min-label propagation with pointer jumping, so long chains need a logarithmic number of rounds.
-    Each round is joins and map-side combined minima; hot ids are split by skew joins, nothing goes to the driver
-    but whether a label changed. Each round's labels are written, which cuts their lineage.
+    Each round a node takes the smallest label of its neighbours, so does the node that its label names, and every node takes its label's label; so trees
+    of labels grow together and long chains need few rounds. A round is look-ups and map-side combined minima; hubs and large components are hot keys
+    of `lookup`. Each round's labels are written, which cuts their lineage; nothing goes to the driver but counts.
     """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = hold(both.where("a <> b").distinct())
-    lab = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("comp")), "labels")
+    both = scratch.write(both.where("a <> b").distinct(), "edges")
+    n = both.count()
+    lab = scratch.write(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("comp")), "labels")
+    if not n:
+        return lab
+    hubs = scratch.write(hot_keys(both, ["b"], n), "hubs")
+    nodes = lab.count()
     while True:
-        seen = both.join(lab.select(F.col("id").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("m"))
-        hooked = lab.join(seen, F.col("id") == F.col("a")).select("id", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
-        up = lab.select(F.col("id").alias("comp"), F.col("comp").alias("up"))
-        new = hooked.join(up, "comp", "left").select("id", "old", F.least("comp", F.coalesce("up", "comp")).alias("comp"))
-        new = materialize(new, "labels")
-        changed = new.agg(F.max(F.col("comp") != F.col("old"))).first()[0]
-        lab = new.select("id", "comp")
-        if not changed:
+        seen = lookup(both, ["b"], lab.select(F.col("id").alias("b"), "comp"), hubs).groupBy("a").agg(F.min("comp").alias("m"))
+        near = scratch.write(lab.join(seen, F.col("id") == F.col("a")).select("id", "comp", "m"), "seen")
+        roots = near.where("m < comp").groupBy(F.col("comp").alias("root")).agg(F.min("m").alias("r"))
+        hooked = scratch.write(near.join(roots, F.col("id") == F.col("root"), "left").select("id", F.col("comp").alias("old"), F.least("comp", "m", "r").alias("comp")), "hooked")
+        if not hooked.where("comp <> old").limit(1).count():
             return lab
+        up = lookup(hooked, ["comp"], hooked.select(F.col("id").alias("comp"), F.col("comp").alias("up")), hot_keys(hooked, ["comp"], nodes))
+        lab = scratch.write(up.select("id", F.least("comp", F.coalesce("up", "comp")).alias("comp")), "labels")
+
+
+def fitting_texts(docs: DataFrame, group: Column, limit: int) -> dict:
+    """{group: texts} of at most `limit` rows of each group, the first by a hash of doc_id, doc_id and a hash of the text: the same on every run.
+
+    Null groups, ids and texts are left out; equal rows give their text once. Each task keeps `limit` rows of a group, so groups must be few.
+    """
+    rows = docs.select(group.alias("g"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("k"), F.col("text").alias("t")).where("g is not null and d is not null and t is not null")
+    first = W.partitionBy("g").orderBy(F.xxhash64("d"), "d", "k")
+    some = rows.select("g", "d", "k").withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= limit).select("g", "d", "k").distinct()
+    found = rows.join(F.broadcast(some), ["g", "d", "k"]).groupBy("g", "d", "k").agg(F.min("t").alias("t"))
+    out: dict = {}
+    for r in found.orderBy("g", F.xxhash64("d"), "d", "k").toLocalIterator():
+        out.setdefault(r["g"], []).append(r["t"])
+    return out

@@ -13,6 +13,7 @@ either in one component or has been checked.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, hold, materialize, maybe_broadcast, small_batches
+from .common import Scratch, connected_components, lookup, materialize, maybe_broadcast, slices
 
 #: 42 bands of 6 rows miss a pair of similarity 0.8 with probability 3e-6, one of 0.9 with 1e-14.
 BANDS, ROWS = 42, 6
@@ -106,7 +107,7 @@ def parity_sketch(x: np.ndarray) -> np.ndarray:
 
 def _sign(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
             keys, sig = np.zeros((len(sets), BANDS), np.int64), np.zeros((len(sets), PLANES + PARITY // 64), np.int64)
             some = [i for i, s in enumerate(sets) if len(s)]
@@ -114,7 +115,7 @@ def _sign(words: int):
                 keys[some], sig[some, :PLANES] = signature([sets[i] for i in some])
                 for i in some:
                     sig[i, PLANES:] = parity_sketch(sets[i])
-            d = np.array([(s.sum(dtype=np.uint64), _mix(s ^ _M2).sum(dtype=np.uint64)) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
+            d = np.frombuffer(b"".join(hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=16).digest() for s in sets), "<i8").reshape(-1, 2)
             lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
             more = batch.columns[2:]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), lists(keys), lists(sig), *more], names=["id", "n", "d0", "d1", "bands", "sig", "key"][: 6 + len(more)])
@@ -125,7 +126,7 @@ def _sign(words: int):
 def _confirm(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_id, last = object(), None
-        for batch in batches:
+        for batch in slices(batches, 100):
             a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
             keep = []
             for i in range(len(a)):
@@ -166,39 +167,46 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Links documents whose shingle sets have 100 * intersection >= percent * union. Words are split at ASCII white
     space after lower-casing A-Z. A text of fewer than `words` words is one shingle; null, empty or blank texts have none and link with
-    nothing. Equal texts and repeated rows are one class; rows that share an id are taken as one document for links, and each row stays in the result. A row without id links with nothing:
-    component_id is null and kept false. Other columns are ignored, so their names cannot clash. An empty table gives an empty result.
+    nothing. Documents with equal sets (by a 128-bit cryptographic digest of the whole set) and repeated rows are one class; rows that share an id are
+    taken as one document for links, and each row stays in the result. A row without id links with nothing: component_id is null and kept false.
+    Other columns are ignored, so their names cannot clash. An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    with Scratch(docs.sparkSession, "near-dup") as scratch:
+        return materialize(_near_duplicates(docs, scratch, id_col, text_col, words, percent, text_key), "near-duplicates")
+
+
+def _near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, words: int, percent: int, text_key: bool) -> DataFrame:
+    write = scratch.write
     key = [F.xxhash64(text_col).alias("key")] if text_key else []
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(F.col(text_col), "UTF-8").alias("t"), *key)
-    signed = hold(rows.mapInArrow(_sign(words), "id long, n long, d0 long, d1 long, bands array<long>, sig array<long>" + (", key long" if text_key else "")))
-    classes = materialize(signed.where("n > 0 and id is not null").groupBy(F.col("d0").alias("c0"), F.col("d1").alias("c1")).agg(F.min("id").alias("rep")), "classes")
-    reps = signed.join(classes, (F.col("id") == F.col("rep")) & (F.col("d0") == F.col("c0")) & (F.col("d1") == F.col("c1"))).select("id", "n", "bands", "sig")
+    signed = write(rows.mapInArrow(_sign(words), "id long, n long, d0 long, d1 long, bands array<long>, sig array<long>" + (", key long" if text_key else "")), "signed")
+    reps = write(signed.where("n > 0 and id is not null").groupBy("d0", "d1").agg(F.min(F.struct("id", "n", "bands", "sig")).alias("r")).select("d0", "d1", "r.*"), "classes")
     banded = reps.select("id", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).where("pivot < top").select("key", "pivot")
-    members = materialize(banded.join(shared, "key"), "members")
-    sigs = signed.where("n > 0").select("id", "n", "sig")
+    members = write(banded.join(shared, "key"), "members")
+    sigs = reps.select("id", "n", "sig")
 
     def screened(pairs: DataFrame) -> DataFrame:
-        for side in "ab":
-            pairs = pairs.join(sigs.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("sig").alias(f"s{side}")), side)
-        return pairs.where(_alike(F.col("na"), F.col("nb"), F.col("sa"), F.col("sb"), percent)).select("a", "b")
+        """pairs (a, b) that signatures allow; a is a pivot, which many rows may share."""
+        own = lookup(write(pairs, "tried"), ["a"], sigs.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")))
+        both = own.join(sigs.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
+        return both.where(_alike(F.col("na"), F.col("nb"), F.col("sa"), F.col("sb"), percent)).select("a", "b")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs.distinct(), "pairs")
-        ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-        held = hold(rows.join(maybe_broadcast(ids), "id", "left_semi"))
+        pairs = write(pairs.distinct(), "pairs")
+        ids = write(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
+        held = write(rows.join(maybe_broadcast(ids, 16 * ids.count()), "id", "left_semi").select("id", "t"), "texts")
         near = pairs.join(held.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").join(held.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
-        return materialize(near.select("a", "b", "ta", "tb").mapInArrow(_confirm(words, percent), "a long, b long").distinct(), "links")
+        return write(near.select("a", "b", "ta", "tb").mapInArrow(_confirm(words, percent), "a long, b long").distinct(), "links")
 
     def merged(comps: DataFrame, links: DataFrame) -> DataFrame:
         """comps (id, comp) after links, by components of components."""
+        if not links.limit(1).count():
+            return comps
         for side in "ab":
-            links = links.join(comps.select(F.col("id").alias(side), F.col("comp").alias(f"c{side}")), side)
-        lower = connected_components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        return materialize(comps.join(lower.select(F.col("id").alias("comp"), F.col("comp").alias("low")), "comp", "left").select("id", F.coalesce("low", "comp").alias("comp")), "comps")
+            links = write(lookup(links, [side], comps.select(F.col("id").alias(side), F.col("comp").alias(f"c{side}"))), "placed-links")
+        lower = connected_components(links.select(F.col("ca").alias("a"), F.col("cb").alias("b")), scratch)
+        return write(lookup(comps, ["comp"], lower.select(F.col("id").alias("comp"), F.col("comp").alias("low"))).select("id", F.coalesce("low", "comp").alias("comp")), "comps")
 
     def unsettled(comps: DataFrame) -> DataFrame:
         """Members of the buckets that hold several components; base is the pivot's."""
@@ -207,16 +215,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return placed.join(mixed, "key")
 
     # first each document with the smallest pivot of all its buckets, then with the pivots of the buckets that are still mixed, last all members of different components
-    comps = members.select("id").distinct().withColumn("comp", F.col("id"))
+    comps = write(members.select("id").distinct().withColumn("comp", F.col("id")), "comps")
     comps = merged(comps, confirmed(screened(members.where("id <> pivot").groupBy(F.col("id").alias("b")).agg(F.min("pivot").alias("a")))))
     comps = merged(comps, confirmed(screened(unsettled(comps).where("comp <> base").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())))
-    left = materialize(unsettled(comps).join(sigs, "id").select("key", "id", "pivot", "comp", "base", "n", "sig"), "unsettled")
+    left = write(unsettled(comps).join(sigs, "id").select("key", "id", "pivot", "comp", "base", "n", "sig"), "unsettled")
     out = left.where("comp <> base").select(F.col("key").alias("ok"), F.col("id").alias("o"), F.col("comp").alias("oc"), F.col("n").alias("on"), F.col("sig").alias("os"))
     cross = left.join(out, (F.col("key") == F.col("ok")) & F.expr("id <> pivot and comp <> oc and (comp = base or id < o)") & _alike(F.col("n"), F.col("on"), F.col("sig"), F.col("os"), percent))
     comps = merged(comps, confirmed(cross.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b"))))
-    home = classes.join(comps, F.col("rep") == F.col("id"), "left").select(F.col("c0").alias("d0"), F.col("c1").alias("d1"), F.coalesce("comp", "rep").alias("comp"))
-    # the hot classes of exact copies are split by the skew join
+    home = write(reps.select("d0", "d1", "id").join(comps, "id", "left").select("d0", "d1", F.coalesce("comp", "id").alias("comp")), "homes")
     own = ["key"] if text_key else []
-    found = signed.select("id", "n", "d0", "d1", *own).join(home, ["d0", "d1"], "left")
+    found = lookup(signed.select("id", "n", "d0", "d1", *own), ["d0", "d1"], home)  # the classes of many copies are hot
     comp = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("id")))
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), comp.alias("component_id"), F.coalesce(comp == F.col("id"), F.lit(False)).alias("kept"), *(F.col(x).alias("text_key") for x in own))
