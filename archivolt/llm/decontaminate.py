@@ -1,9 +1,9 @@
 """Benchmark decontamination by a broadcast hash set of test n-grams, with DataFrame functions only.
 
 A benchmark item's windows are its runs of 13 words, or the whole item if it is shorter. Every aligned tile of m words at stride s with
-m + s - 1 = 13 lies in exactly one way in each window that holds it, so a document is scanned by its tiles only: one hash for s
-words. Tiles are looked up in a broadcast hash set of the items' m-grams; a hit carries the words around it, whose windows are
-compared with the items' windows as strings. One pass over the documents, one shuffle of results.
+m + s - 1 = 13 lies in exactly one way in each window that holds it, so a document is scanned by its tiles only: one hash and its place for s
+words. Tiles are looked up in a broadcast hash set of the items' m-grams. Only documents with a hit are read once more: the windows around their
+hits are compared with the items' windows word by word.
 """
 
 from __future__ import annotations
@@ -11,13 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_broadcast
+from .common import Scratch, keyed, materialize, maybe_broadcast, packed, same, unpacked
 
 WINDOW = 13
 #: Of a document's words, one in DIRTY hit is contaminated.
 DIRTY = 20
-#: Most benchmark windows that are broadcast; with more, Spark shuffles the lookups.
-SET_ROWS = 1_000_000
 _GAPS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same in a text that keeps its capitals.
 _SIGNS = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
@@ -53,98 +51,110 @@ def benchmark_windows(bench: DataFrame, window: int = WINDOW) -> DataFrame:
     return wins.groupBy("length", "win").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
+def _documents(docs: DataFrame) -> DataFrame:
+    """(d, k, t) of docs: id, hash of the text, text."""
+    return docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("k"), F.col("text").alias("t"))
+
+
+def _judged(docs: DataFrame, bench: DataFrame, window: int, dirty: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """((d, k, n, copies) of all documents, copies being the rows that share id and text; (d, k, n_hit, hits, item_ids, contaminated) of those with hits)."""
+    wins = scratch.write(benchmark_windows(bench, window), "windows")
+    sizes = wins.groupBy("length").agg(F.count("*").alias("n"), F.sum(F.expr("aggregate(win, 40L, (s, x) -> s + 20 + octet_length(x)) + aggregate(items, 0L, (s, x) -> s + 20 + octet_length(x))")).alias("bytes")).collect()  # at most `window` rows
+    base = _documents(docs).select("d", "k", words_of(F.col("t")).alias("w0"))
+    kind = "struct<length:int,h:bigint,q:int>"
+
+    def tiles(w: Column, length: int) -> Column:
+        m, s = _shape(length)
+        return F.transform(_starts(F.size(w), m, s), lambda q: F.struct(F.lit(length).alias("length"), F.xxhash64(F.slice(w, q + 1, m)).alias("h"), q.alias("q")))
+
+    lengths = sorted(r["length"] for r in sizes)
+    both = lambda w: F.struct(F.size(w).cast("long").alias("n"), F.concat(F.array().cast(f"array<{kind}>"), *(tiles(w, n) for n in lengths)).alias("tiles"))
+    seen = base.select("d", "k", F.transform(F.array("w0"), both)[0].alias("x"))  # one pass over the words
+    rows = seen.select("d", "k", F.col("x.n").alias("n"), F.posexplode_outer("x.tiles").alias("pos", "t")).select("d", "k", "n", F.when(F.coalesce("pos", F.lit(0)) == 0, 1).otherwise(0).alias("copy"), "t.length", "t.h", "t.q")
+    known = wins.where("false").select("length", F.lit(0).cast("long").alias("h"))
+    for n in lengths:  # every m-gram of every window: a tile can lie at any of the s places
+        known = known.union(wins.where(F.col("length") == n).select("length", F.explode(_grams(n)).alias("h")))
+    known = scratch.write(known.distinct().withColumn("known", F.lit(True)), "grams")
+    held = rows.join(maybe_broadcast(known, 40 * known.count()), ["length", "h"], "left").where("copy = 1 or known")
+    per = held.groupBy("d", "k").agg(F.max("n").alias("n"), F.sum("copy").cast("int").alias("copies"), F.collect_set(F.when(F.col("known"), F.struct("length", "q"))).alias("spots"))
+    per = scratch.write(per, "scanned")
+    some = per.where(F.size("spots") > 0).select("d", "k", "n", "spots")
+    texts = _documents(docs)
+    near = keyed(some.select("d", "k"))
+    again = texts.join(maybe_broadcast(near, 40 * some.count()), same(texts, near), "left_semi").groupBy("d", "k").agg(F.min("t").alias("t"))
+    spots = keyed(some)
+    worded = again.join(spots, same(again, spots)).select("d", "k", "n", words_of(F.col("t")).alias("w"), F.explode("spots").alias("s")).select("d", "k", "n", "w", "s.length", "s.q")
+    first = F.lit(0)
+    for n in lengths:  # a tile lies in the windows that start up to s - 1 words before it
+        first = F.when(F.col("length") == n, F.greatest(F.col("q") - (_shape(n)[1] - 1), F.lit(0))).otherwise(first)
+    last = F.least("q", F.size("w") - F.col("length"))
+    places = F.when(first <= last, F.sequence(first, last))
+    spread = worded.select("d", "k", "n", "length", F.explode(F.transform(places, lambda p: F.struct(p.alias("p"), F.slice("w", p + 1, F.col("length")).alias("win")))).alias("s")).select("d", "k", "n", "length", "s.p", "s.win")
+    hits = spread.join(maybe_broadcast(wins, sum(r["bytes"] for r in sizes)), ["length", "win"])
+    found = hits.groupBy("d", "k").agg(F.max("n").alias("n"), F.sort_array(F.collect_set(F.struct("p", "length"))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"))
+    covered = F.aggregate(
+        "hits",
+        F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end")),
+        lambda acc, x: F.struct((acc["n"] + F.greatest(x["p"] + x["length"] - F.greatest(acc["end"], x["p"]), F.lit(0))).cast("long").alias("n"), F.greatest(acc["end"], x["p"] + x["length"]).alias("end")),
+        lambda acc: acc["n"],
+    )
+    found = found.withColumn("n_hit", covered).select("d", "k", "n_hit", "hits", "item_ids", (F.col("n_hit") * dirty >= F.col("n")).alias("contaminated"))
+    return per.select("d", "k", "n", "copies"), found
+
+
 def scan(docs: DataFrame, bench: DataFrame, window: int = WINDOW, dirty: int = DIRTY) -> DataFrame:
     """One row per document: doc_id, text_key, n_words, n_hit, item_ids, hits (array of start, length), contaminated.
 
     Texts are lower-cased in A-Z; words are runs of digits, a-z and non-ASCII characters. Null and empty texts have no words and are clean. Rows that share
-    doc_id and text are each returned; rows that share only doc_id are judged by their own texts. Other columns are ignored. Without
-    benchmark windows every document is clean.
+    doc_id and text are each returned; rows that share only doc_id are judged by their own texts. Null ids keep their rows. Other columns are ignored.
+    Without benchmark windows every document is clean; an empty table gives an empty result.
     """
-    wins = benchmark_windows(bench, window).persist()
-    try:
-        lengths = sorted(r[0] for r in wins.select("length").distinct().collect())  # at most `window` numbers
-        n_wins = wins.count()
-        base = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("k"), words_of(F.col("text")).alias("w0"))
-
-        def tiles(w: Column, length: int) -> Column:
-            m, s = _shape(length)
-            return F.transform(
-                _starts(F.size(w), m, s),
-                lambda q: F.struct(F.lit(length).alias("length"), (F.greatest(q - (s - 1), F.lit(0))).alias("from"), F.xxhash64(F.slice(w, q + 1, m)).alias("h"), F.slice(w, F.greatest(q - (s - 1), F.lit(0)) + 1, q + length - F.greatest(q - (s - 1), F.lit(0))).alias("near"), q.alias("q")),
-            )
-
-        empty = F.array().cast("array<struct<length:int,from:int,h:bigint,near:array<string>,q:int>>")
-        both = lambda w: F.struct(F.size(w).cast("long").alias("n"), F.concat(empty, *(tiles(w, n) for n in lengths)).alias("tiles"))
-        seen = base.select("d", "k", F.transform(F.array("w0"), both)[0].alias("x"))
-        rows = seen.select("d", "k", F.col("x.n").alias("n"), F.posexplode_outer("x.tiles").alias("pos", "t"))
-        rows = rows.select("d", "k", "n", "pos", F.col("t.length").alias("length"), F.col("t.h").alias("h"), F.col("t.from").alias("from"), F.col("t.near").alias("near"), F.col("t.q").alias("q"))
-        # every m-gram of every window: a tile can lie at any of the s places
-        grams = [wins.where(F.col("length") == n).select("length", F.explode(_grams(n)).alias("h")) for n in lengths]
-        first = F.when(F.coalesce(F.col("pos"), F.lit(0)) == 0, 1).otherwise(0)
-        if not grams:
-            hits = rows.select("d", "k", "n", first.alias("copy"), F.lit(None).cast("int").alias("p"), F.lit(None).cast("int").alias("length"), F.lit(None).cast("array<string>").alias("items"))
-        else:
-            known = grams[0]
-            for g in grams[1:]:
-                known = known.union(g)
-            known = known.distinct().withColumn("known", F.lit(True))
-            held = rows.join(maybe_broadcast(known, n_wins * max(lengths), SET_ROWS), ["length", "h"], "left").where((first == 1) | F.col("known"))
-            spots = F.when(F.col("known") & (F.size("near") >= F.col("length")), F.transform(F.sequence(F.lit(0), F.size("near") - F.col("length")), lambda i: F.struct((F.col("from") + i).alias("p"), F.slice("near", i + 1, F.col("length")).alias("win"))))
-            spread = held.select("d", "k", "n", "length", first.alias("copy"), F.posexplode_outer(spots).alias("at", "s"))
-            spread = spread.select("d", "k", "n", "length", F.when(F.coalesce(F.col("at"), F.lit(0)) == 0, F.col("copy")).otherwise(0).alias("copy"), F.col("s.p").alias("p"), F.col("s.win").alias("win"))
-            hits = spread.join(maybe_broadcast(wins, n_wins, SET_ROWS), ["length", "win"], "left").where((F.col("copy") == 1) | F.col("items").isNotNull())
-        spot = F.when(F.col("items").isNotNull(), F.struct("p", "length"))
-        per = hits.groupBy("d", "k").agg(F.max("n").alias("n_words"), F.sum("copy").cast("int").alias("copies"), F.sort_array(F.collect_set(spot)).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"))
-        covered = F.aggregate(
-            "hits",
-            F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("end")),
-            lambda acc, x: F.struct((acc["n"] + F.greatest(x["p"] + x["length"] - F.greatest(acc["end"], x["p"]), F.lit(0))).cast("long").alias("n"), F.greatest(acc["end"], x["p"] + x["length"]).alias("end")),
-            lambda acc: acc["n"],
-        )
-        out = per.select("d", "k", "n_words", covered.alias("n_hit"), "item_ids", "hits", "copies")
-        return out.select(F.col("d").alias("doc_id"), F.col("k").alias("text_key"), "n_words", "n_hit", "item_ids", "hits", ((F.col("n_hit") > 0) & (F.col("n_hit") * dirty >= F.col("n_words"))).alias("contaminated"), F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("_row")).drop("_row")
-    finally:
-        wins.unpersist()
-
-
-def _same(docs: DataFrame) -> Column:
-    return docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_k"))
+    with Scratch(docs.sparkSession, "scan") as scratch:
+        per, found = _judged(docs, bench, window, dirty, scratch)
+        found = keyed(found)
+        out = per.join(found, same(per, found), "left")  # unique on both sides
+        return materialize(out.select(F.col("d").alias("doc_id"), F.col("k").alias("text_key"), F.col("n").alias("n_words"), F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), F.coalesce("hits", F.array().cast("array<struct<p:int,length:int>>")).alias("hits"), F.coalesce("contaminated", F.lit(False)).alias("contaminated"), F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("_row")).drop("_row"), "scan")
+
+
+def _parted(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of docs that are not found, rows that are, with what was found)."""
+    rows, known = packed(docs), keyed(found)
+    n = known.agg(F.count("*").alias("n"), F.coalesce(F.sum(40 + 24 * F.size("hits")), F.lit(0)).alias("b")).first()
+    keys = known.select("rd", "rk")
+    clean = rows.join(maybe_broadcast(keys, 40 * n["n"]), same(rows, keys), "left_anti")
+    return unpacked(clean, docs), rows.join(maybe_broadcast(known, n["b"]), same(rows, known))
 
 
 def without_hits(docs: DataFrame, bench: DataFrame, window: int = WINDOW, dirty: int = DIRTY) -> DataFrame:
     """docs without contaminated documents, and with the hit words of all others cut out, each with the signs after it; the rest of the text stays as it is.
 
     What was cut is judged again until nothing is hit, since the words around a cut can make a window. n_chars, where there is one, is the new length.
+    Null and empty texts stay; repeated rows and rows of null ids are treated each alike; columns of any other name stay as they are; an empty table stays empty.
     """
-    kept = None
-    while True:
-        found = scan(docs, bench, window, dirty).where("n_hit > 0").groupBy(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k"))
-        found = materialize(found.agg(F.first("hits").alias("_hits"), F.first("contaminated").alias("_bad")), "hits")
-        n = found.count()
-        if not n:
-            return docs if kept is None else kept.union(docs)
-        clean = docs.join(maybe_broadcast(found.select("_d", "_k"), n), _same(docs), "left_anti")
-        kept = clean if kept is None else kept.union(clean)
-        spans = found.where("not _bad").select("_d", "_k", "_hits")
-        n_spans = spans.agg(F.coalesce(F.sum(F.size("_hits")), F.lit(0))).first()[0]
-        words = F.regexp_extract_all("text", F.lit(f"[^{_SIGNS}]+[{_SIGNS}]*"), F.lit(0))
-        left = F.filter(words, lambda x, i: ~F.exists("_hits", lambda h: (i >= h["p"]) & (i < h["p"] + h["length"])))
-        cut = docs.join(maybe_broadcast(spans, n_spans), _same(docs)).withColumn("text", F.concat(F.regexp_extract("text", f"^[{_SIGNS}]*", 0), F.array_join(left, "")))
-        if "n_chars" in docs.columns:
-            cut = cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-        docs = materialize(cut.select(*docs.columns), "cut")
+    with Scratch(docs.sparkSession, "without-hits") as scratch:
+        kept = None
+        while True:
+            found = materialize(_judged(docs, bench, window, dirty, scratch)[1], "hits")
+            if not found.limit(1).count():
+                return docs if kept is None else kept.union(docs)
+            clean, hit = _parted(docs, found)
+            kept = clean if kept is None else kept.union(clean)
+            words = F.regexp_extract_all(F.col("row")["text"], F.lit(f"[^{_SIGNS}]+[{_SIGNS}]*"), F.lit(0))
+            left = F.filter(words, lambda x, i: ~F.exists("hits", lambda h: (i >= h["p"]) & (i < h["p"] + h["length"])))
+            cut = F.concat(F.regexp_extract(F.col("row")["text"], f"^[{_SIGNS}]*", 0), F.array_join(left, ""))
+            docs = materialize(unpacked(hit.where("not contaminated"), docs, cut), "cut")
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, dirty: int = DIRTY, remove: str = "documents") -> DataFrame:
-    """docs without contaminated documents, or (remove="spans") with the hit words of contaminated documents cut out.
+    """docs without contaminated documents, or (remove="spans") with the hit words of every document cut out.
 
-    With spans, a contaminated text becomes its other words joined by single spaces. All columns stay.
+    With spans, a hit text becomes its other words joined by single spaces, and n_chars, where there is one, its new length. All columns stay, whatever
+    their names. Null and empty texts are clean and stay; repeated rows and rows of null ids are treated each alike; an empty table stays empty.
     """
-    found = scan(docs, bench, window, dirty).where("contaminated")
-    bad = found.groupBy(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).agg(F.first("hits").alias("_hits"))
-    same = _same(docs)
-    if remove == "documents":
-        return docs.join(maybe_broadcast(bad.drop("_hits").persist()), same, "left_anti")
-    left = lambda w: F.array_join(F.filter(w, lambda x, i: ~F.exists("_hits", lambda h: (i >= h["p"]) & (i < h["p"] + h["length"]))), " ")
-    joined = docs.join(bad, same, "left")
-    return joined.withColumn("text", F.when(F.col("_k").isNotNull(), F.transform(F.array(words_of(docs["text"])), left)[0]).otherwise(docs["text"])).select(*docs.columns)
+    with Scratch(docs.sparkSession, "decontaminate") as scratch:
+        found = materialize(_judged(docs, bench, window, dirty, scratch)[1], "hits")
+        if remove == "documents":
+            return _parted(docs, found.where("contaminated"))[0]
+        clean, hit = _parted(docs, found)
+        left = F.transform(F.array(words_of(F.col("row")["text"])), lambda w: F.array_join(F.filter(w, lambda x, i: ~F.exists("hits", lambda h: (i >= h["p"]) & (i < h["p"] + h["length"]))), " "))[0]
+        return clean.union(unpacked(hit, docs, left))
