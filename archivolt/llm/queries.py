@@ -83,8 +83,10 @@ def _prior(level: str, mean: str) -> str:
 OP1 = f"""
 WITH {_PARTS},
 marked AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL AND (quality IS NOT NULL OR toxic IS NOT NULL) GROUP BY doc_id),
-hosts AS (SELECT host, regexp_extract(host, '([^.]*[.])?[^.]*$') AS domain, regexp_extract(host, '[^.]*$') AS suffix, count(bad) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS k
-  FROM parts LEFT JOIN marked ON page_id = doc_id GROUP BY ALL),
+named AS (SELECT *, regexp_replace(host, ':[0-9]*$', '') AS name FROM parts),
+placed AS (SELECT *, regexp_matches(name, '^([0-9]+[.]){{3}}[0-9]+$') OR starts_with(name, '[') AS ip FROM named),
+hosts AS (SELECT host, CASE WHEN ip THEN name ELSE regexp_extract(name, '([^.]*[.])?[^.]*$') END AS domain, CASE WHEN ip THEN '[ip]' ELSE regexp_extract(name, '[^.]*$') END AS suffix, count(bad) AS n, CAST(coalesce(sum(bad), 0) AS DOUBLE) AS k
+  FROM placed LEFT JOIN marked ON page_id = doc_id GROUP BY ALL),
 domains AS (SELECT domain, suffix, sum(n)::DOUBLE AS n, sum(k) AS k FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY ALL),
 top AS (SELECT (sum(k) + 0.5) / (sum(n) + 1) AS m0 FROM suffixes),
@@ -94,7 +96,7 @@ d1 AS (SELECT d.*, m FROM domains d JOIN m1 USING (suffix)),
 m2 AS (SELECT domain, (k + s * m) / (n + s) AS m FROM d1, (SELECT {_prior('d1', 'm')} AS s)),
 h1 AS (SELECT h.*, m FROM hosts h JOIN m2 USING (domain)),
 ab AS (SELECT host, k + s * m AS a, n - k + s * (1 - m) AS b FROM h1, (SELECT {_prior('h1', 'm')} AS s)),
-blocked AS (SELECT host FROM ab WHERE a / (a + b) - {url_filter.Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > {url_filter.BAD_SHARE}),
+blocked AS (SELECT host FROM ab WHERE a / (a + b) - 1.0 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) > 0.5),
 ruled AS (SELECT *, CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
     WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
     WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
