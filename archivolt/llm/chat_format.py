@@ -58,8 +58,18 @@ def ranked_paths(nodes: DataFrame, keep: int = 1) -> DataFrame:
     """nodes (tree, node, parent, score) -> (tree, leaf, rank, node, depth): the nodes of each tree's `keep` best root-to-leaf paths.
 
     Ranks by mean score, then by length, then by leaf id; null scores count as 0. A node whose parent is null or missing is a root. Nodes on
-    a cycle belong to no path. A repeated (tree, node) keeps one of its rows, the smallest.
+    a cycle belong to no path. A repeated (tree, node) keeps one of its rows, the smallest. The null tree is a tree; a null node is no node. Other columns
+    are ignored. An empty table gives no paths.
     """
+    return _ranked(_as_keys(nodes).select("tree", "node", "parent", "score"), keep).withColumn("tree", F.col("tree.id"))
+
+
+def _as_keys(nodes: DataFrame) -> DataFrame:
+    """nodes with tree in a struct, in which nulls are equal: so the null tree joins like any other."""
+    return nodes.where("node is not null").withColumn("tree", F.struct(F.col("tree").alias("id")))
+
+
+def _ranked(nodes: DataFrame, keep: int) -> DataFrame:
     n = nodes.groupBy("tree", "node").agg(F.min(F.struct("parent", F.coalesce("score", F.lit(0.0)).alias("score"))).alias("r")).select("tree", "node", "r.parent", F.col("r.score").alias("score"))
     has = n.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
     n = materialize(n.join(has, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("parent"), "score"), "nodes")
@@ -83,16 +93,20 @@ def ranked_paths(nodes: DataFrame, keep: int = 1) -> DataFrame:
 
 
 def format_trees(nodes: DataFrame, keep: int = 1) -> DataFrame:
-    """nodes (tree, node, parent, role, text, score) -> (tree, leaf, rank, formatted), one row for each chosen path."""
-    path = ranked_paths(nodes, keep)
+    """nodes (tree, node, parent, role, text, score) -> (tree, leaf, rank, formatted), one row for each chosen path, chosen as by ranked_paths.
+
+    Null roles and texts are empty. One conversation is one string, so its turns must fit a task.
+    """
+    nodes = _as_keys(nodes)
+    path = _ranked(nodes.select("tree", "node", "parent", "score"), keep)
     said = nodes.groupBy("tree", "node").agg(F.min(F.struct("parent", "score", "role", "text")).alias("r")).select("tree", "node", turn_text(F.col("r.role"), F.col("r.text")).alias("turn"))
     turns = path.join(said, ["tree", "node"]).groupBy("tree", "leaf", "rank").agg(F.array_sort(F.collect_list(F.struct("depth", "turn"))).alias("turns"))
-    return turns.select("tree", "leaf", "rank", F.array_join(F.transform("turns", lambda x: x["turn"]), "").alias("formatted"))
+    return turns.select("tree.id", "leaf", "rank", F.array_join(F.transform("turns", lambda x: x["turn"]), "").alias("formatted")).withColumnRenamed("id", "tree")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """(tree, formatted) -> the digest columns of what parsing the output gives."""
-    parsed = formatted.select("tree", "formatted", parse_turns(F.col("formatted")).alias("turns"))
+    """(tree, formatted) -> the digest columns of what parsing the output gives. A null formatted text has no turns."""
+    parsed = formatted.select("tree", "formatted", F.coalesce(parse_turns(F.col("formatted")), F.array().cast("array<struct<role:string,text:string>>")).alias("turns"))
     loss = F.array_join(F.transform(F.filter("turns", lambda x: x["role"] == TRAINED_ROLE), lambda x: x["text"]), "")
     all_ = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     return parsed.select(F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(all_, 256).alias("turns_sha256"), F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.char_length("formatted").cast("long").alias("formatted_chars"))
@@ -101,9 +115,10 @@ def read_back(formatted: DataFrame) -> DataFrame:
 def conversation_nodes(turns: DataFrame) -> DataFrame:
     """Rows (conv_id, turn, role, text) as reply trees: each row answers the one before it by (turn, role, text).
 
-    Repeated rows are turns of their own. Null turns come first; null texts and roles are empty. Rows of a null conv_id form one conversation.
+    Repeated rows are turns of their own. Null turns come first; null texts and roles are empty. Rows of a null conv_id form one conversation, whose id stays
+    null. Other columns are ignored; an empty table has no nodes.
     """
     order = W.partitionBy("tree").orderBy("turn", "role", "text")
     t = turns.select(F.col("conv_id").alias("tree"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     at = t.withColumn("node", F.row_number().over(order).cast("long"))
-    return at.select(F.coalesce("tree", F.lit(-(2**63))).alias("tree"), "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
+    return at.select("tree", "node", F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
