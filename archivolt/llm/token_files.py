@@ -1,14 +1,14 @@
 """Token-id files in a Simple-8b word-aligned coding.
 
 A word is 64 bits: a selector in the top four and a count of ids in the other sixty, by SELECTORS. Selector 0 is an escape: the next word is one raw id of
-60 bits or more. A shard holds a contiguous range of doc_id in ascending order, cut into blocks of whole documents; each block row
+60 bits or more. A shard holds a contiguous range of (doc_id, hash of the text) in ascending order, cut into blocks of whole documents; each block row
 has its words, the ids before it in its shard, and per document the id count, so that a reader can seek, and decodes a block by table look-ups
 on whole arrays. Shards are Parquet tables of block rows: Spark's commit protocol makes a rewritten or lost task harmless.
 """
 
 from __future__ import annotations
 
-import uuid
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,13 +20,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches
+from .common import new_path, slices
 
 #: (ids in a word, bits of each), for selectors 1 to 14.
 SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 _COUNT = np.array([0, *(n for n, _ in SELECTORS)])
 #: Ids of a block, unless one document has more.
 BLOCK_IDS = 1 << 16
+#: Bytes of text for a shard, and most shards.
+SHARD_BYTES, MOST_SHARDS = 64 << 20, 10_000
 
 
 def pack(ids: np.ndarray) -> np.ndarray:
@@ -120,6 +122,22 @@ CHUNK_BYTES = 12 << 20
 BATCH_ROWS = 250
 
 
+#: How the files that WordEncoder can read normalise and split texts.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def check_spec(spec: dict) -> None:
+    """ValueError unless a text's ids are those of its strings between white space, lower-cased, and words end in </w>: what WordEncoder takes for granted."""
+    model, steps = spec["model"], (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}]
+    plain = model["type"] == "BPE" and model.get("end_of_word_suffix") == "</w>" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    split = steps[0].get("type") == "Split" and steps[0].get("pattern") == {"Regex": SPLIT} and steps[0].get("behavior") == "Removed" and steps[0].get("invert")
+    level = len(steps) == 2 and steps[1].get("type") == "ByteLevel" and not steps[1].get("add_prefix_space") and not steps[1].get("use_regex")
+    literal = all(x["content"].startswith("<|") and not any(x.get(k) for k in ("single_word", "lstrip", "rstrip", "normalized")) and len(x["content"].split()) == 1 for x in spec["added_tokens"])
+    if not (plain and split and level and literal and spec.get("normalizer") == NORMALIZER and not spec.get("truncation") and not spec.get("padding")):
+        raise ValueError("this tokenizer file is not of the lower-casing word kind")
+
+
 class WordEncoder:
     """Ids of texts by a tokenizers file. Pieces never span white space, so the different strings between ASCII white space are encoded once for each chunk.
 
@@ -129,6 +147,8 @@ class WordEncoder:
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            check_spec(json.load(f))
         self.tok = Tokenizer.from_file(path)
         vocab = self.tok.get_vocab()
         most = max(vocab.values())
@@ -201,7 +221,7 @@ def encoder(path: str, end_id: int) -> WordEncoder:
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
-    for batch in batches:
+    for batch in slices(batches, BATCH_ROWS):
         held.append(batch)
         size += batch.nbytes
         if size >= CHUNK_BYTES:
@@ -211,12 +231,34 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.concat_batches(held)
 
 
-def _encode(path: str, end_id: int):
+class Shards:
+    """Which shard a row goes to, by doc_id and then by its tie, a hash of the text.
+
+    bounds are quantiles of doc_id, repeats kept: an id that is many of them has so many shards more, which its rows are split over by their ties. Null ids
+    come first and have `nulls` shards.
+    """
+
+    def __init__(self, bounds: list[int], nulls: int):
+        self.bounds, self.nulls = np.array(bounds, np.int64), nulls
+        self.count = nulls + len(bounds) + 1
+
+    def of(self, ids: pa.Array, ties: np.ndarray) -> np.ndarray:
+        part = (ties.astype(np.float64) + 2.0**63) / 2.0**64
+        part = np.minimum(part, np.nextafter(1, 0))
+        none = ids.is_null().to_numpy(zero_copy_only=False)
+        x = ids.fill_null(0).to_numpy()
+        lo, hi = np.searchsorted(self.bounds, x, "left"), np.searchsorted(self.bounds, x, "right")
+        known = self.nulls + lo + (part * (hi - lo)).astype(np.int64)
+        return np.where(none, (part * self.nulls).astype(np.int64), known).astype(np.int32)
+
+
+def _encode(path: str, end_id: int, shards: Shards):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, end_id)
         for chunk in _chunks(batches):
             counts, ids = e.encode(chunk.column(2))
-            out = pa.RecordBatch.from_arrays([chunk.column(0), chunk.column(1), pa.array(counts, pa.int64()), ids], names=["shard", "doc_id", "n", "ids"])
+            shard = pa.array(shards.of(chunk.column(0), chunk.column(1).to_numpy()))
+            out = pa.RecordBatch.from_arrays([shard, chunk.column(0), chunk.column(1), pa.array(counts, pa.int64()), ids], names=["shard", "doc_id", "tie", "n", "ids"])
             del chunk, counts, ids
             pa.default_memory_pool().release_unused()
             for at in range(0, out.num_rows, BATCH_ROWS):
@@ -229,7 +271,7 @@ _BLOCK_SCHEMA = "shard int, block long, ids_before long, n_ids long, has_escapes
 
 
 def _block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (shard, doc_id) -> block rows."""
+    """Rows (shard, doc_id, n, ids) sorted by shard and in a shard's order -> block rows."""
     shard, block, before, docs, counts, parts = None, 0, 0, [], [], []
 
     def close():
@@ -237,7 +279,7 @@ def _block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         esc = bool((ids >> np.uint64(60)).any())
         return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([block]), pa.array([before]), pa.array([len(ids)]), pa.array([esc]), pa.array([docs], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64())), pa.array([pack(ids).astype("<u8").tobytes()], pa.binary())], names=["shard", "block", "ids_before", "n_ids", "has_escapes", "doc_ids", "doc_counts", "words"])
 
-    for batch in batches:
+    for batch in slices(batches, BATCH_ROWS):
         for s, d, n, w in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
             if docs and (s != shard or sum(counts) + n > BLOCK_IDS):
                 yield close()
@@ -256,27 +298,26 @@ def _block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_ids(docs: DataFrame, path: str, end_id: int = 1, shards: int | None = None) -> str:
     """Encode docs (doc_id, text), append end_id to each, and write shards in ascending doc_id order; returns their folder.
 
-    Null texts are empty: the end id only. Null ids come first; rows of one id are ordered by their token ids. Other columns are ignored. Shard bounds are
-    approximate quantiles of doc_id; a shard is written by one task and holds all rows of an id.
+    Null texts are empty: the end id only. Null ids come first; rows of one id are ordered by a hash of their texts. Other columns are ignored. An
+    empty table makes no block. There is a shard for each SHARD_BYTES of text, one for each core at least and MOST_SHARDS at most; shard bounds are
+    approximate quantiles of doc_id, and an id of many rows, or null, has several shards.
     """
     spark = docs.sparkSession
-    small_batches(spark, BATCH_ROWS)
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    marks = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [i / shards for i in range(1, shards)] or [0.5], 10000).alias("q")).first()["q"] or []
-    bounds = sorted(set(marks))
-    # bounds are sorted: the shard is the number of bounds below doc_id, found by the array's own order
-    shard = F.coalesce(F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<long>"), lambda b: b < F.col("doc_id"))), F.lit(0)) if bounds else F.lit(0)
-    shard = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(shard).cast("int")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.make_valid_utf8("text").alias("t")).select(shard.alias("shard"), "doc_id", "t")
-    coded = rows.mapInArrow(_encode(path, end_id), "shard int, doc_id long, n long, ids binary")
-    dealt = coded.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "n", "ids")
-    out = f"{shared_dir(spark)}/archivolt/token-ids-{uuid.uuid4().hex}"
-    dealt.mapInArrow(_block, _BLOCK_SCHEMA).write.parquet(out)
+    i = F.col("doc_id").cast("long")
+    seen = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("known"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    shards = shards or min(MOST_SHARDS, max(spark.sparkContext.defaultParallelism, -(-seen["bytes"] // SHARD_BYTES)))
+    marks = docs.agg(F.percentile_approx(i, [k / shards for k in range(1, shards)] or [0.5], max(10000, 2 * shards)).alias("q")).first()["q"] or []
+    dealt = Shards(marks, -(-(seen["n"] - seen["known"]) * shards // max(1, seen["n"])))
+    rows = docs.select(i.alias("doc_id"), F.xxhash64("text").alias("tie"), F.make_valid_utf8("text").alias("t"))
+    coded = rows.mapInArrow(_encode(path, end_id, dealt), "shard int, doc_id long, tie long, n long, ids binary")
+    coded = coded.repartitionById(dealt.count, F.col("shard")).sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "tie", "n", "ids").select("shard", "doc_id", "n", "ids")
+    out = new_path(spark, "token-ids")
+    coded.mapInArrow(_block, _BLOCK_SCHEMA).write.parquet(out)
     return out
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, 16):
         for i in range(batch.num_rows):
             shard, before, esc, docs, counts, words = (batch.column(c)[i].as_py() for c in range(6))
             ids = unpack(np.frombuffer(words, "<u8").astype(np.uint64), esc).astype("<u4")
@@ -288,9 +329,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_digests(spark: SparkSession, folder: str) -> DataFrame:
     """Shards -> doc_id, start (ids of all documents before), n_tokens, ids_crc32, decoded from the files."""
-    small_batches(spark, 16)
     blocks = spark.read.schema(_BLOCK_SCHEMA).parquet(folder)
-    # one row for each shard, as many as the writer's tasks
+    # one row for each shard, MOST_SHARDS and two at most
     sums = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     base = sums.select("shard", F.coalesce(F.sum("n").over(W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     docs = blocks.select("shard", "ids_before", "has_escapes", "doc_ids", "doc_counts", "words").mapInArrow(_read, "shard int, doc_id long, at long, n_tokens long, ids_crc32 long")
