@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import fitting_texts, slices
 
 GRAM, HASHES, SLOT_BITS = 4, 3, 20
 #: Documents of each language that the filters are fitted on, the first by a hash of doc_id.
@@ -101,16 +101,12 @@ def held_out(id_col):
 
 
 def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> LanguageFilters:
-    """Filters from up to fit_docs documents of every language value, held-out ids left out."""
-    small_batches(docs.sparkSession)
-    learn = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.coalesce(~held_out(F.col("doc_id")), F.lit(False)))
-    langs = [r[0] for r in learn.select("lang").distinct().collect()]  # the label values
-    texts = {}
-    for lang in langs:
-        ids = learn.where(F.col("lang") == lang).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
-        rows = learn.where(F.col("lang") == lang).join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("doc_id", "text").limit(2 * fit_docs)
-        texts[lang] = [r[1] for r in rows.toLocalIterator()]
-    return LanguageFilters(texts)
+    """Filters from up to fit_docs documents of every language value, the same ones on every run; held-out ids, null ids and null texts are left out.
+
+    All languages are taken in one pass. Without any such row there are no languages.
+    """
+    learn = docs.where(F.coalesce(~held_out(F.col("doc_id")), F.lit(False)))
+    return LanguageFilters(fitting_texts(learn, F.col("lang"), fit_docs))
 
 
 def identify(docs: DataFrame, filters: LanguageFilters | None = None) -> DataFrame:
@@ -124,10 +120,9 @@ def identify(docs: DataFrame, filters: LanguageFilters | None = None) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             got = [f.predict(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")

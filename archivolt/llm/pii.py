@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import fitting_texts, slices
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents that the potentials are fitted on, the first by a hash of doc_id.
@@ -33,8 +33,8 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 _NON_DIGIT = re.compile("[^0-9]")
 #: Loose candidates: digit groups with any of these separators, and e-mails with spelled-out signs.
-_LOOSE_DIGITS = re.compile(r"\(?[0-9](?:[ ()./_-]{0,2}[0-9]|\[\.\][0-9]){7,30}")
-_LOOSE_MAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[(\[](?:at|AT)[)\]] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[(\[](?:dot|DOT)[)\]]) ?[A-Za-z0-9-]{1,63})+")
+_LOOSE_DIGITS = re.compile(r"\(?[0-9](?:[ ()./_-]{0,2}[0-9]|\[\.\][0-9]){7,}+")
+_LOOSE_MAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[(\[](?:at|AT)[)\]] ?[A-Za-z0-9-]++(?: ?(?:\.|[(\[](?:dot|DOT)[)\]]) ?[A-Za-z0-9-]++)++")
 
 
 def luhn(digits: str) -> bool:
@@ -87,8 +87,12 @@ def _value(kind: int, raw: str) -> str:
 
 
 def _keys(value: str) -> list[str]:
-    """Link keys of a value: itself, and for digits the last ten (a phone without its country code) and the dotless rest."""
-    return [value, "t" + value[-10:]] if not value.startswith("m") and 10 <= len(value) <= 15 else [value]
+    """Link keys of a value: itself, and of what is similar: numbers with the same last ten digits (a phone without its country code) or the same first
+    twelve (a card or number that goes on or breaks off), addresses with the same name at another host or the same host's name spelled with another ending."""
+    if value.startswith("m"):
+        name, _, host = value[1:].partition("@")
+        return [value, "n" + name, "h" + name[:3] + host.partition(".")[0]] if host else [value]
+    return [value, *(["t" + value[-10:]] if len(value) >= 10 else []), *(["f" + value[:12]] if len(value) >= 14 else [])]
 
 
 def nodes_of(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -120,7 +124,8 @@ _O = len(KINDS)
 
 
 def edges_of(text: str, nodes: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(chain edges, skip edges). Repeats of a key are joined one to the next, so edges stay linear in the nodes."""
+    """(chain edges, skip edges). Repeats of a key are joined one to the next: messages pass along the whole row of repeats, while edges stay linear in
+    the nodes (all pairs of n repeats would be n * n / 2)."""
     chain = [(i, i + 1) for i in range(len(nodes) - 1)]
     last: dict[str, int] = {}
     skip = set()
@@ -150,7 +155,10 @@ class SkipChain:
                 unary[i] = -50.0
                 unary[i, k] = 0.0
         chain, skip = edges_of(text, nodes)
-        pairs = [(i, j, self.chain) for i, j in chain] + [(i, j, self.skip) for i, j in skip]
+        weight = dict.fromkeys(chain, self.chain)  # two edges between the same nodes are one of both weights
+        for e in skip:
+            weight[e] = weight.get(e, 0.0) + self.skip
+        pairs = [(i, j, w) for (i, j), w in weight.items()]
         src = np.array([p[0] for p in pairs] + [p[1] for p in pairs], int)
         dst = np.array([p[1] for p in pairs] + [p[0] for p in pairs], int)
         gain = np.expm1(np.array([p[2] for p in pairs] * 2))
@@ -221,11 +229,8 @@ def learn(texts: list[str], rounds: int = 400, rate: float = 0.5, ridge: float =
 
 
 def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> SkipChain:
-    """Potentials from up to fit_docs texts that hold a digit or an at sign."""
-    small_batches(docs.sparkSession)
-    rows = docs.where(F.col("text").rlike("[0-9@]")).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
-    texts = docs.select("doc_id", "text").join(F.broadcast(rows.distinct()), "doc_id", "left_semi").limit(2 * fit_docs)
-    return learn([t for _, t in sorted((r[0], r[1]) for r in texts.toLocalIterator() if r[1])])
+    """Potentials from up to fit_docs texts that hold a digit or an at sign, the same ones on every run. Null ids and texts are left out."""
+    return learn(fitting_texts(docs.where(F.col("text").rlike("[0-9@]")), F.lit(1), fit_docs).get(1, []))
 
 
 def _listed(spans: list[tuple[int, int, int]]) -> str:
@@ -233,22 +238,21 @@ def _listed(spans: list[tuple[int, int, int]]) -> str:
 
 
 def find(docs: DataFrame, model: SkipChain) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
+    """docs (doc_id, text) -> doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans.
 
-    Counts and the digest are of base spans, `spans` lists all, in code points. Null and empty texts have none. Row by row: repeated rows, null ids and
+    Counts by kind and the digest are of base spans, `spans` lists all, in code points, and n_spans is their number. Null and empty texts have none. Row by row: repeated rows, null ids and
     empty tables give a row for each row. Other columns are ignored.
     """
-    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             got = [m.spans(t) for t in batch.column(1).to_pylist()]
             cols = [pa.array([sum(k == kind for _, k, _ in b) for b, _ in got], pa.int64()) for kind in range(len(KINDS))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols, pa.array([hashlib.sha256(_listed(b).encode()).hexdigest() for b, _ in got], pa.string()), pa.array([_listed(s) for _, s in got], pa.string())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols, pa.array([hashlib.sha256(_listed(b).encode()).hexdigest() for b, _ in got], pa.string()), pa.array([_listed(s) for _, s in got], pa.string()), pa.array([len(s) for _, s in got], pa.int64())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def masked(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
@@ -264,8 +268,10 @@ def masked(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
 
 
 def redact(docs: DataFrame, model: SkipChain) -> DataFrame:
-    """docs with all spans of `text` masked; all columns stay, and n_chars, where there is one, is the new length."""
-    small_batches(docs.sparkSession)
+    """docs with all spans of `text` masked; all columns stay, and n_chars, where there is one, is the new length.
+
+    Null and empty texts stay as they are. Row by row: repeated rows, null ids and an empty table make no difference, and no other column is looked at.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("string")

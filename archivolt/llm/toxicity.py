@@ -7,6 +7,7 @@ matched is normalised by the text's length and turned into a probability by logi
 from __future__ import annotations
 
 import math
+import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -14,9 +15,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import fitting_texts, slices
 from .language_id import held_out
 
 #: Labelled documents of each class that the lexicon is fitted on, the first by a hash of doc_id.
@@ -26,25 +28,62 @@ SUPPORT, LEAST_ODDS = 4, 2.0
 #: Lengths of word beginnings that can be entries, and most entries.
 PREFIX, ENTRIES = (4, 12), 5000
 THRESHOLD = 0.7
-#: Digits and signs that stand for letters, and letters of other scripts that look like Latin ones.
+#: Digits and signs that stand for letters, and letters that look like plain Latin ones but have no decomposition to them.
 _LEET = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
-_ALIKE = dict(zip("авекмнорстухіѕјԁαβεικνορτυχ", "abekmhopctyxisjdabeikvoptux", strict=True))
-
-
-def _fold_table() -> dict[int, str]:
-    table = {i: " " for i in range(128) if not chr(i).isalnum()}
-    table |= {i: unicodedata.normalize("NFKC", chr(i)).lower() for i in range(0xFF01, 0xFF5F)}
-    table |= {ord(a): b for a, b in (_LEET | _ALIKE).items()}
-    table |= {0x200B: "", 0x200C: "", 0x200D: "", 0x2060: "", 0xFEFF: "", 0xAD: "", 0xA0: " ", 0x2028: " ", 0x2029: " ", 0x3000: " "}
-    return {k: (_LEET.get(v, v) if v and (v.isalnum() or v in _LEET) else v.strip(" ") and " " or v) for k, v in table.items()}
-
-
-FOLD = _fold_table()
+_CYRILLIC = dict(zip("авекмнорстухіѕјԁһԛԝѵгпиья", "abekmhopctyxisjdhqwvrnubr", strict=True))
+_GREEK = dict(zip("αβεικνορτυχηωγϲϳ", "abeikvoptuxnwycj", strict=True))
+_ARMENIAN = dict(zip("օսոհցզ", "ounhgq", strict=True))
+_LATIN = dict(zip("ıɑɡøđłħŧƒʋʌ", "iagodlhtfva", strict=True))
+_SMALL_CAPITALS = dict(zip("ᴀʙᴄᴅᴇɢʜɪᴊᴋʟᴍɴᴏᴘʀꜱᴛᴜᴠᴡʏᴢ", "abcdeghijklmnoprstuvwyz", strict=True))
+_ALIKE = _CYRILLIC | _GREEK | _ARMENIAN | _LATIN | _SMALL_CAPITALS
+#: First code points of rows of 26 emoji letters.
+_EMOJI_ROWS = (0x1F1E6, 0x1F150, 0x1F170)
+
+
+class _Folding(dict):
+    """What a character is folded to, worked out when it first occurs: its compatibility decomposition in lower case, without marks and invisible signs,
+    with look-alikes and substitutions replaced; what is neither letter nor digit is a blank."""
+
+    def __missing__(self, code: int) -> str:
+        row = next((r for r in _EMOJI_ROWS if 0 <= code - r < 26), None)
+        text = chr(97 + code - row) if row else unicodedata.normalize("NFKD", chr(code)).lower()
+        out = ""
+        for c in unicodedata.normalize("NFKD", text):
+            if unicodedata.category(c) in ("Mn", "Me", "Cf"):
+                continue
+            c = _ALIKE.get(c, c)
+            c = _LEET.get(c, c)
+            out += c if c.isalnum() else " "
+        self[code] = out
+        return out
+
+
+FOLD = _Folding()
+#: A sign in place of a letter, where a letter follows; four letters or more set apart by single signs.
+_BANG, _BAR, _APART = re.compile("!(?=[^\\W\\d_])"), re.compile("(?<=[^\\W\\d_])[|](?=[^\\W\\d_])"), re.compile(r"(?<= )(?:[^\W\d_] ){3,}[^\W\d_](?= )")
 
 
 def fold(text: str | None) -> str:
-    """Lower-cased words between single-blank borders: homoglyphs, full-width forms, digit substitutions and punctuation folded."""
-    return " " + (text or "").lower().translate(FOLD) + " "
+    """Lower-cased words between single-blank borders: homoglyphs, accents, full-width and other letter forms, digit substitutions, invisible signs,
+    letters set apart and punctuation folded. Null is as empty."""
+    text = text or ""
+    if "!" in text:
+        text = _BANG.sub("i", text)
+    if "|" in text:
+        text = _BAR.sub("l", text)
+    return _APART.sub(lambda m: m[0].replace(" ", ""), f" {text.lower().translate(FOLD)} ")
+
+
+def outside(best: dict[int, float], free: list[tuple[int, int]]) -> dict[int, float]:
+    """The matches whose start lies in no span [a, b) of free: one pass over both, sorted."""
+    out, spans, i, reach = {}, sorted(free), 0, -1
+    for s in sorted(best):
+        while i < len(spans) and spans[i][0] <= s:
+            reach = max(reach, spans[i][1])
+            i += 1
+        if s >= reach:
+            out[s] = best[s]
+    return out
 
 
 class Lexicon:
@@ -74,7 +113,9 @@ class Lexicon:
 
     def features(self, text: str | None) -> tuple[float, float, float]:
         """(strongest match, matched weight by hundred characters, matched weight), each on a log scale; one match for a word, the strongest."""
-        folded = fold(text)
+        return self.features_of(fold(text))
+
+    def features_of(self, folded: str) -> tuple[float, float, float]:
         if not len(self.automaton):
             return 0.0, 0.0, 0.0
         best: dict[int, float] = {}
@@ -86,7 +127,7 @@ class Lexicon:
             else:
                 best[start] = max(best.get(start, 0.0), x)
         if free:
-            best = {s: x for s, x in best.items() if not any(a <= s < b for a, b in free)}
+            best = outside(best, free)
         if not best:
             return 0.0, 0.0, 0.0
         total = sum(best.values())
@@ -122,7 +163,10 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 0.1
 
 
 def learn(toxic: list[str], clean: list[str]) -> Lexicon:
-    """Fit lexicon, exceptions and curve; the curve is fitted on the documents that the lexicon was not, in two halves."""
+    """Fit lexicon, exceptions and curve; the curve is fitted on the documents that the lexicon was not, in two halves.
+
+    With no document of a class there is no lexicon. With only one in a class, which can't be halved, the curve stays the default one.
+    """
     if not toxic or not clean:
         return Lexicon({})
 
@@ -148,28 +192,28 @@ def learn(toxic: list[str], clean: list[str]) -> Lexicon:
 
     bad, good = [fold(t) for t in toxic], [fold(t) for t in clean]
     xs, ys = [], []
-    if len(bad) >= 20 and len(good) >= 20:
-        for k in (0, 1):
-            part = lexicon(bad[k::2], good[k::2])
-            for texts, y in ((toxic[1 - k :: 2], 1.0), (clean[1 - k :: 2], 0.0)):
-                xs += [part.features(t) for t in texts]
-                ys += [y] * len(texts)
     full = lexicon(bad, good)
-    if not xs:
-        xs, ys = [full.features(t) for t in toxic + clean], [1.0] * len(toxic) + [0.0] * len(clean)
+    if len(bad) < 2 or len(good) < 2:
+        return full
+    for k in (0, 1):
+        part = lexicon(bad[k::2], good[k::2])
+        for texts, y in ((bad[1 - k :: 2], 1.0), (good[1 - k :: 2], 0.0)):
+            xs += [part.features_of(t) for t in texts]
+            ys += [y] * len(texts)
     return Lexicon(full.weights, full.exceptions, tuple(float(w) for w in _logistic(np.array(xs), np.array(ys))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Lexicon:
-    """Lexicon from up to fit_docs toxic and fit_docs other labelled documents; ids with crc32 % 3 = 1 are held out."""
-    small_batches(docs.sparkSession)
-    marks = labels.select("doc_id", "toxic").where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).distinct()
-    sides = []
-    for side in (1, 0):
-        ids = marks.where(F.col("toxic") == side).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_docs)
-        rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").where("text is not null").limit(2 * fit_docs)
-        sides.append(sorted((r[0], r[1]) for r in rows.toLocalIterator()))
-    return learn(*([t for _, t in s] for s in sides))
+    """Lexicon from up to fit_docs toxic and fit_docs other labelled documents, the same ones on every run; ids with crc32 % 3 = 1 are held out.
+
+    Null ids, texts and labels, and documents labelled both ways, are left out.
+    """
+    marks = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("toxic").alias("lo"), F.max("toxic").alias("hi")).where("lo = hi")
+    first = W.partitionBy("hi").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = marks.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= fit_docs).select("doc_id", F.col("hi").alias("toxic"))
+    marked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most 2 * fit_docs ids
+    sides = fitting_texts(marked, F.col("toxic"), fit_docs)
+    return learn(sides.get(1, []), sides.get(0, []))
 
 
 def _scorer(spark, lexicon: Lexicon):
@@ -190,10 +234,9 @@ def score_documents(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESH
     Null and empty texts match nothing and have the lowest score. Without labels of both classes the lexicon is empty and all scores are equal and low. Row by row:
     repeated rows each get a row. A null doc_id is not held out. Other columns are ignored.
     """
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             s = [shared.value.score(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
@@ -203,6 +246,9 @@ def score_documents(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESH
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the rows whose text scores at least threshold; all columns stay."""
-    small_batches(docs.sparkSession)
+    """docs without the rows whose text scores at least threshold; all columns stay.
+
+    Null and empty texts score lowest and stay, unless the threshold is below their score. Row by row: repeated rows, null ids and an empty table make
+    no difference, and no other column is looked at.
+    """
     return docs.where(_scorer(docs.sparkSession, lexicon)(docs["text"]) < threshold)
