@@ -168,9 +168,9 @@ def test_word_encoder_in_chunks(monkeypatch):
     texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 50))) for _ in range(3000)] + [None, "", " ", "x" * 9000, "word, " * 20000]
     monkeypatch.setattr(token_files, "CHUNK_BYTES", 20_000)
     monkeypatch.setattr(token_files, "BATCH_ROWS", 7)
-    rows = pa.record_batch([pa.array([0] * len(texts), pa.int32()), pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["shard", "doc_id", "t"])
+    rows = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array([0] * len(texts), pa.int64()), pa.array(texts, pa.string())], names=["doc_id", "tie", "t"])
     for end_id, width in ((1, 2), (70_000, 4)):
-        out = list(token_files._encode(path, end_id)(iter([rows.slice(0, 0), *(rows.slice(at, 100) for at in range(0, len(texts), 100))])))
+        out = list(token_files._encode(path, end_id, token_files.Shards([], 0))(iter([rows.slice(0, 0), *(rows.slice(at, 100) for at in range(0, len(texts), 100))])))
         assert all(b.num_rows <= 7 for b in out)
         got = pa.Table.from_batches(out).to_pydict()
         assert got["doc_id"] == list(range(len(texts)))
@@ -184,11 +184,19 @@ def test_embedding_join(spark):
     rows = [(i, [float(x) for x in (centre[i % 3] + rng.standard_normal(64) * rng.choice((0.05, 0.2, 0.27, 1.0))).astype(np.float32)], i % 2) for i in range(150)]
     rows += [(200, rows[0][1], 0), (201, rows[0][1], 0), (202, None, 0), (203, [0.0] * 64, 0), (204, [float("nan")] * 64, 0), (205, rows[0][1], None), (206, [1.0, 0.0], 0), (207, [2.0, 0.0], 0), (208, [], 0), (209, [None, 1.0], 0)]
     df = spark.createDataFrame([(*r, 7) for r in rows], "vec_id long, embedding array<float>, label int, rep int")
-    old, embedding_join.TILE = embedding_join.TILE, 16
+    names = ("TILE", "SPLIT", "LISTED", "SHARE")
+    old = [getattr(embedding_join, n) for n in names]
+    runs = []
     try:
-        got = {r["vec_id"]: r for r in embedding_join.near_vectors(df).collect()}
+        for new in ((2048, 2048, 16, 1 / 3), (16, 8, 0.5, 1.0), (8, 4, 1000, 1.0)):  # as it is, tiles that count, split cells that list
+            for n, x in zip(names, new, strict=True):
+                setattr(embedding_join, n, x)
+            runs.append(sorted(embedding_join.near_vectors(df).collect()))
     finally:
-        embedding_join.TILE = old
+        for n, x in zip(names, old, strict=True):
+            setattr(embedding_join, n, x)
+    assert runs[0] == runs[1] == runs[2]
+    got = {r["vec_id"]: r for r in runs[0]}
     vs = {i: np.array(e, float) for i, e, la in rows if e and la is not None and None not in e and np.isfinite(e).all() and np.any(e)}
     lab = {i: la for i, _, la in rows}
     near = {i: {j for j in vs if j != i and lab[i] == lab[j] and len(vs[i]) == len(vs[j]) and vs[i] @ vs[j] / np.linalg.norm(vs[i]) / np.linalg.norm(vs[j]) >= 0.93} for i in vs}
@@ -204,6 +212,12 @@ def test_embedding_join(spark):
     assert sum(len(x) for x in near.values()) > 500 and embedding_join.near_vectors(df.limit(0)).count() == 0
 
 
+def test_embedding_join_with_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0], 0), (1, [0.0, 1.0, 0.0], 0), (1, [0.0, 1.0, 0.0], 0), (2, [2.0, 0.0], 0), (3, [0.0, 3.0, 0.1], 0), (None, [1.0, 0.0], 0)]
+    got = sorted(tuple(r) for r in embedding_join.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).where("vec_id is not null").collect())
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False)]
+
+
 def test_toxicity(spark):
     rng = random.Random(3)
     clean = [" ".join(rng.choice(WORDS) for _ in range(40)) for _ in range(200)]
@@ -234,6 +248,13 @@ def test_chat(spark):
     assert chat_format.format_trees(chat_format.conversation_nodes(df.limit(0))).count() == 0
 
 
+def test_chat_null_conversation_and_long_text(spark):
+    rows = [(None, 1, "user", "a"), (None, 2, "assistant", "b"), (-(2**63), 1, "user", "c"), (7, 1, "assistant", "x<|" * 300_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: (r["n_turns"], r["loss_chars"]) for r in chat_format.read_back(chat_format.format_trees(chat_format.conversation_nodes(df)).select("tree", "formatted")).collect()}
+    assert got == {None: (2, 1), -(2**63): (1, 0), 7: (1, 900_000)}
+
+
 def test_reply_tree_picks_the_best_branch(spark):
     nodes = [("t", 1, None, "user", "q", 0.0), ("t", 2, 1, "assistant", "bad", -1.0), ("t", 3, 1, "assistant", "good", 2.0), ("t", 4, 3, "user", "more", 0.0), ("t", 5, 4, "assistant", "end", 1.0), ("t", 8, 9, "user", "cycle", 9.0), ("t", 9, 8, "user", "cycle", 9.0)]
     df = spark.createDataFrame(nodes, "tree string, node long, parent long, role string, text string, score double")
@@ -241,6 +262,104 @@ def test_reply_tree_picks_the_best_branch(spark):
     assert [r["leaf"] for r in rows] == [5, 2] and [x for x in re.findall(r"\n([a-z]+)<", rows[0]["formatted"])] == ["q", "good", "more", "end"]
 
 
+def test_toxicity_against_a_naive_matcher():
+    """Scores by the automaton against a plain search of every entry, with exceptions tested one by one."""
+    rng = random.Random(6)
+    weights = {" idio": 3.0, " idiot ": 4.0, " fool ": 2.0, " foo": 1.0, " stu": 2.5}
+    lex = toxicity.Lexicon(weights, ("foolish fool", "idiot proof", "fool proof"), (-3.0, 0.5, 0.7, 0.2))
+    words = ["idiot", "idiotic", "fool", "foolish", "proof", "stupid", "fine", "day", "ídiot", "f00l", "i.d.i.o.t"]
+    for n in [*range(40), 400]:
+        text = " ".join(rng.choice(words) for _ in range(n))
+        folded = toxicity.fold(text)
+        free = [(i, i + len(e) + 1) for e in lex.exceptions for i in range(len(folded)) if folded.startswith(f" {e} ", i)]
+        best = {}
+        for w, x in weights.items():
+            for i in range(len(folded)):
+                if folded.startswith(w, i) and not any(a <= i < b for a, b in free):
+                    best[i] = max(best.get(i, 0), x)
+        total = sum(best.values())
+        want = (max(best.values()), np.log1p(100 * total / len(folded)), np.log1p(total)) if best else (0, 0, 0)
+        assert np.allclose(lex.features(text), want)
+
+
+def test_toxicity_folding_and_a_long_text():
+    import time
+
+    for x in ("!diot", "idïot", "𝓲𝓭𝓲𝓸𝓽", "ıdıot", "i.d.i.o.t", "1d10t", "ІDIOT", "Ｉｄｉｏｔ", "🅸🅳🅸🅾🆃", "i\u200bdiot"):
+        assert toxicity.fold(x) == " idiot "
+    assert toxicity.fold("¡Qué día, A!").split() == ["que", "dia", "a"]
+    lex = toxicity.Lexicon({" idiot ": 4.0}, ("idiot proof",), (-3.0, 1.0, 1.0, 1.0))
+    t = time.time()
+    assert lex.score("idiot proof day " * 333_334) < 0.1 < 0.9 < lex.score("idiot " * 1_000_000)
+    assert time.time() - t < 60
+    assert toxicity.learn(["bad words"], ["good words", "more good"]).curve == (-3.0, 0.0, 0.0, 0.0) and toxicity.learn([], ["x"]).weights == {}
+
+
+def test_fits_do_not_depend_on_partitions(spark):
+    rows = [(i % 40, f"text {i % 90} of the number {i} or so with idiot {i % 7}", "en" if i % 2 else "de") for i in range(400)] + [(3, "a text of three", "en")] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(1, 0), (None, 1)], "doc_id long, toxic int")
+    a, b = docs.coalesce(1), docs.repartition(5)
+    x, y = (toxicity.fit(d, labels, 9) for d in (a, b))
+    assert (x.weights, x.exceptions, x.curve) == (y.weights, y.exceptions, y.curve)
+    x, y = (language_id.fit(d, 9) for d in (a, b))
+    assert x.langs == y.langs == ["de", "en"] and all((p == q).all() for p, q in zip(x.planes, y.planes, strict=True))
+    x, y = (pii.fit(d, 9) for d in (a, b))
+    assert (x.local == y.local).all() and x.skip == y.skip
+
+
+def test_language_against_plain_sets():
+    """Popcounts by the filters against plain sets: no n-gram is missed, and what is added stays within the false-positive rate."""
+    rng = random.Random(4)
+    texts = {la: [" ".join("".join(rng.choice(alphabet) for _ in range(5)) for _ in range(200)) for _ in range(20)] for la, alphabet in (("aa", "abcde"), ("bb", "defgh"), ("cc", "xyzé"))}
+    f = language_id.LanguageFilters(texts)
+    counts = {la: {} for la in texts}
+    for la, some in texts.items():
+        for t in some:
+            for g in language_id.grams(t)[0].tolist():
+                counts[la][g] = counts[la].get(g, 0) + 1
+    rate = {la: {g: n / sum(c.values()) for g, n in c.items()} for la, c in counts.items()}
+    own = {la: {g for g, n in c.items() if n >= language_id.LEAST and rate[la][g] >= language_id.SHARE * max(r.get(g, 0) for r in rate.values())} for la, c in counts.items()}
+    seen = extra = 0
+    for t in [*(x for some in texts.values() for x in some[:3]), "".join(rng.choice("pqrstuv ") for _ in range(20000))]:
+        h = language_id.grams(t)[0]
+        m = f.masks(h)[0]
+        for i, la in enumerate(f.langs):
+            got = (m >> np.uint64(i) & np.uint64(1)).astype(bool)
+            want = np.array([g in own[la] for g in h.tolist()])
+            assert (got | ~want).all()
+            extra += int((got & ~want).sum())
+            seen += len(h)
+        best = max(f.langs, key=lambda la: sum(g in own[la] for g in h.tolist()))
+        if any(g in own[best] for g in h.tolist()):
+            assert f.predict(t)[0] == best
+    assert extra <= 1e-3 * seen
+    assert f.predict("abcde " * 200_000)[0] == "aa" and f.predict("12 !")[0] == "und"
+    tie = language_id.LanguageFilters({"q": ["same words here " * 5], "p": ["same words here " * 5]})
+    assert tie.predict("same words")[0] == "p"
+
+
+def test_pii_beliefs_against_exact_marginals():
+    """Loopy beliefs against sums over all labelings: equal on chains, near on graphs with cycles."""
+    import itertools
+
+    model = pii.SkipChain(chain=0.4, skip=1.5)
+    model.local = np.random.default_rng(2).normal(0, 0.6, model.local.shape)
+    for text, near in (("ring 555 010 2000 or 555 010 3000 or 555 010 4444", 1e-3), ("a@b.org then +1 555 010 2000, 555-010-2000 then 555.010.2000", 0.06), ("5550102000 x 5550102000 y 5550102000", 1e-3)):
+        nodes = pii.nodes_of(text, pii.base_spans(text))
+        chain, skip = pii.edges_of(text, nodes)
+        unary = np.array([model.local @ pii._features(text, a, b) for a, _, b in nodes])
+        exact = np.zeros_like(unary)
+        for labels in itertools.product(range(len(pii.KINDS) + 1), repeat=len(nodes)):
+            if any(k >= 0 and labels[i] != k for i, (_, k, _) in enumerate(nodes)):
+                continue
+            w = np.exp(sum(unary[i, y] for i, y in enumerate(labels)) + sum(model.chain for i, j in chain if labels[i] == labels[j]) + sum(model.skip for i, j in skip if labels[i] == labels[j]))
+            for i, y in enumerate(labels):
+                exact[i, y] += w
+        exact /= exact.sum(1, keepdims=True)
+        assert len(nodes) >= 3 and np.abs(model.posteriors(text, nodes) - exact).max() < near
+
+
 def test_language(spark):
     rng = random.Random(1)
     frags = {"aa": ["th", "er", "on", "ing"], "bb": ["ung", "sch", "ein", "ich"], "cc": ["eau", "oi", "que", "ré"]}
@@ -294,6 +413,19 @@ def test_decontaminate(spark):
     assert decontaminate.scan(docs, bench.limit(0)).where("contaminated").count() == 0 and decontaminate.scan(docs.limit(0), bench).count() == 0
 
 
+def test_decontaminate_clashing_names_and_a_long_text(spark):
+    item = " ".join(f"b{i}" for i in range(13))
+    long = " ".join(f"w{i % 5000}" for i in range(300_000))
+    rows = [(1, item, 1), (2, f"{long} {item} end", 2), (3, None, 3), (None, f"{long[:4000]} {item}", 4), (4, "fine", 5)]
+    names = ["_d", "_k", "_hits", "_rn", "row", "rd", "rk", "d", "k", "hits", "n"]
+    docs = spark.createDataFrame([(i, t, *[x] * len(names)) for i, t, x in rows], f"doc_id long, text string, {', '.join(n + ' int' for n in names)}")
+    bench = spark.createDataFrame([(1, item, 0)], "item_id long, text string, known int")
+    assert {r["doc_id"]: r["n_hit"] for r in decontaminate.scan(docs, bench).collect()} == {1: 13, 2: 13, 3: 0, None: 13, 4: 0}
+    out = decontaminate.without_hits(docs, bench)
+    assert out.columns == docs.columns and {r["doc_id"]: (r["text"], r["row"]) for r in out.collect()} == {2: (f"{long} end", 2), 3: (None, 3), None: (f"{long[:4000]} ", 4), 4: ("fine", 5)}
+    assert sorted(r["_k"] for r in decontaminate.decontaminate(docs, bench).collect()) == [2, 3, 4, 5] and decontaminate.decontaminate(docs, bench, remove="spans").where("doc_id = 1").first()["text"] == ""
+
+
 def test_bpe_against_the_library(spark):
     from tokenizers import Tokenizer
 
@@ -307,8 +439,92 @@ def test_bpe_against_the_library(spark):
         assert t.encode(x).tolist() == ids and t.decode(ids) == ref.decode(ids, skip_special_tokens=False)
     for k in ("a", "ab", "the", "etaoin"):
         s = "".join(rng.choice(k) for _ in range(2000))
-        assert list(t.stream([s[i : i + 7].encode() for i in range(0, 2000, 7)])) == ref.encode(s, add_special_tokens=False).ids
+        e = bpe.Emitter(t)
+        assert [x for i in range(0, 2000, 7) for x in e.push(s[i : i + 7].encode())] + e.finish() == ref.encode(s, add_special_tokens=False).ids
+    for _ in range(400):  # texts in pieces, with runs longer than a piece
+        x = "".join(rng.choice([*parts, "'", "<|", "<|endof", "text|>", "12"]) * rng.choice((1, 1, 3, rng.randrange(1, 300))) for _ in range(rng.randrange(0, 12)))
+        k = rng.randrange(1, 40)
+        got = b"".join(t.encode_parts((x[i : i + k] for i in range(0, len(x), k)), piece=64))
+        assert np.frombuffer(got, "<u4").tolist() == ref.encode(x, add_special_tokens=False).ids
     rows = bpe.round_trip(docs_of(spark, [(1, "a b"), (1, "a b"), (2, None), (None, "<|endoftext|>x")]), path).collect()
     assert len(rows) == 4 and sorted(r["n_tokens"] for r in rows) == [0, 2, 2, 2]
     back = bpe.decode_ids(bpe.encode_ids(docs_of(spark, [(1, "héllo wörld\n")]), path), path).first()["text"]
     assert back == "héllo wörld\n" and bpe.round_trip(docs_of(spark, []), path).count() == 0
+
+
+def test_bpe_memory_is_constant():
+    import tracemalloc
+
+    t = bpe.transducer(public_tokenizers.path("byte_bpe_50k.json"))
+    line = "The quick brown fox, 12 times, jumps over " + "x" * 700 + " lazy dogs. "
+    sum(map(len, t.encode_parts([line] * 10)))
+    tracemalloc.start()
+    size = sum(len(p) for p in t.encode_parts(line for _ in range(1500)))  # 1.1 MB of text
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert size > 600_000 and peak < 1_500_000
+
+
+def test_bpe_refuses_other_files():
+    import json
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    bpe.check_spec(spec)
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"added_tokens": [{"content": "<a b>", "id": 1}]}):
+        with pytest.raises(ValueError):
+            bpe.check_spec(spec | change)
+    with pytest.raises(ValueError):
+        token_files.WordEncoder(public_tokenizers.path("byte_bpe_50k.json"), 1)
+    bpe.check_order([(1, 2, 3), (3, 1, 4)], {1, 2})
+    for bad in ([(3, 1, 4), (1, 2, 3)], [(1, 2, 3), (1, 2, 3)]):
+        with pytest.raises(ValueError):
+            bpe.check_order(bad, {1, 2})
+
+
+def test_token_files_split_hot_ids(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    ref = Tokenizer.from_file(path)
+    rng = random.Random(9)
+    rows = [(None if i % 3 == 0 else 50 if i % 3 == 1 else i, " ".join(rng.choice(WORDS) for _ in range(rng.randrange(0, 9)))) for i in range(600)]
+    folder = token_files.write_ids(docs_of(spark, rows), path, 1, shards=9)
+    blocks = spark.read.parquet(folder)
+    for where in ("doc_ids[0] is null", "exists(doc_ids, x -> x = 50)"):
+        assert blocks.where(where).select("shard").distinct().count() >= 3
+    got = sorted(token_files.read_digests(spark, folder).collect(), key=lambda r: r["start"])
+    want = sorted((-1 if i is None else i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, t in rows for ids in [[*ref.encode(t, add_special_tokens=False).ids, 1]])
+    mine = [(-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got]
+    assert sorted(mine) == want and [m[0] for m in mine] == [w[0] for w in want]
+    assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got]).tolist()[:-1]]
+
+
+def test_components_of_hubs_and_chains(spark):
+    from archivolt.llm.common import Scratch, connected_components
+
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(1000, 1200)] + [(5, i) for i in range(2000, 2400)] + [(7, 7), (5, 2000), (1100, 3)]
+    rng.shuffle(edges)
+    with Scratch(spark, "test") as s:
+        got = {r["id"]: r["comp"] for r in connected_components(spark.createDataFrame(edges, "a long, b long"), s).collect()}
+        none = connected_components(spark.createDataFrame([(1, 1)], "a long, b long"), s).count()
+    assert got == {i: 3 for i in [3, *range(1000, 1201)]} | {i: 5 for i in [5, *range(2000, 2400)]} and none == 0
+
+
+@pytest.mark.parametrize("name", ["op1_url_filter", "op2_minhash", "op5_embedding_join", "op7_chat_format", "op9_decontaminate"])
+def test_query_against_sql(spark, name):
+    import duckdb
+
+    from archivolt.llm import queries
+
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
+        con.execute(f"create view {t} as select * from '/root/testdata/sf0.001/{t}.parquet'")
+    got = queries.queries()[name](spark, "/root/testdata/sf0.001")
+    cols = sorted(got.columns)
+    want = con.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in want.description]
+    assert sorted(names) == cols
+    key = lambda r: tuple((x is not None, str(x)) for x in r)
+    assert sorted((tuple(r[c] for c in cols) for r in got.collect()), key=key) == sorted((tuple(r[names.index(c)] for c in cols) for r in want.fetchall()), key=key)

@@ -95,3 +95,17 @@ def test_near_duplicate_stage_keeps_the_unique_text_of_a_repeated_id(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
     out = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
     assert out.columns == docs.columns and sorted((r["doc_id"], r["text"]) for r in out.collect()) == [rows[0], rows[2], rows[4]]
+
+
+def test_stages_keep_clashing_names_and_nulls(spark):
+    import corpus_pipeline
+
+    rows = [(1, "a text with a@b.org in it"), (1, "a text with a@b.org in it"), (None, None), (2, ""), (3, "other words")]
+    names = ["_d", "_k", "row", "kept", "d", "k", "rd", "rk", "n", "key", "id", "t", "score", "tree"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 9, *[i] * len(names)) for i, t in rows], f"doc_id long, text string, lang string, source string, n_chars long, {', '.join(n + ' long' for n in names)}")
+    for left in (docs, docs.limit(0)):
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, left, SF)
+            assert out.columns == docs.columns
+            assert sorted({(r["doc_id"] or 0, r["row"] or 0) for r in out.collect()}) == sorted({(r["doc_id"] or 0, r["doc_id"] or 0) for r in left.collect()})
+        assert corpus_pipeline.STAGES[-1][1](spark, left, SF).count() == left.count()
