@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archivolt.llm import bpe, decontaminate, near_dup, pii, toxicity
-from archivolt.llm.common import materialize, maybe_broadcast, table
+from archivolt.llm.common import keyed, materialize, maybe_broadcast, packed, same, table, unpacked
 from archivolt.llm.queries import tokenizer_path
 
 
@@ -20,29 +20,32 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the smallest doc_id (five words, similarity 0.8). Of rows that share a doc_id and stay, one is kept for each different text."""
-    found = near_dup.near_duplicates(docs, text_key=True)
-    gone = materialize(found.where("doc_id is not null and not kept").select(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).distinct(), "gone")
-    # the copies are found by id and text, the repeated rows of one id and text by grouping what is left of such ids
-    left = docs.join(maybe_broadcast(gone), (docs["doc_id"] == F.col("_d")) & (F.xxhash64(docs["text"]) == F.col("_k")), "left_anti").select(*docs.columns)
-    twice = materialize(left.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
-    n = twice.count()
-    if not n:
-        return left
-    again = left.join(maybe_broadcast(twice, n), "doc_id", "left_semi").select(*docs.columns)
-    return left.join(maybe_broadcast(twice, n), "doc_id", "left_anti").select(*docs.columns).union(again.dropDuplicates(["doc_id", "text"]))
+    """One document of each group: the smallest doc_id (five words, similarity 0.8). Of repeated rows of one doc_id and text that stay, one is kept.
+
+    Rows are found by id and text, so a unique text stays though its id has other texts too. Null ids, null and empty texts stay.
+    """
+    found = near_dup.near_duplicates(docs, text_key=True).where("doc_id is not null")
+    seen = found.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).agg(F.min("kept").alias("kept"), F.count("*").alias("n"))
+    seen = keyed(materialize(seen.where("not kept or n > 1"), "seen"))
+    size = 40 * seen.count()
+    rows, twice = packed(docs), seen.where("kept")
+    left = rows.join(maybe_broadcast(seen.select("rd", "rk"), size), same(rows, seen), "left_anti")
+    again = rows.join(maybe_broadcast(twice.select("rd", "rk"), size), same(rows, twice), "left_semi").groupBy("d", "k").agg(F.min("row").alias("row"))
+    return unpacked(left, docs).union(unpacked(again, docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are not contaminated, without the benchmark passages of the others."""
+    """Documents that are not contaminated, without the benchmark passages of the others. Null and empty texts stay; repeated rows are treated alike."""
     return decontaminate.without_hits(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data in their texts masked. Null and empty texts stay as they are; repeated rows are treated alike."""
     return pii.redact(docs, pii.fit(docs))
 
 
 def code_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, number and digest of the ids of each text, and digest of the text decoded from them. Null and empty texts have no ids; each row gets a row."""
     return bpe.round_trip(docs, tokenizer_path("byte_bpe_50k.json"))
 
 
