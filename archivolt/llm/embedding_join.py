@@ -229,20 +229,19 @@ def _near_vectors(vectors: DataFrame, least: float, scratch: Scratch) -> DataFra
     classes = write(grouped.withColumn("cid", F.monotonically_increasing_id()), "classes")
     placed = write(classes.select("cid", "label", "embedding").mapInArrow(_place(least), "label int, dims int, block int, cell array<int>, cid long, home boolean, r double, p array<float>"), "cells")
     sizes = write(_sizes(placed), "cell-sizes")
-    for c in range(1, BLOCK_DIMS):
-        hot = write(sizes.where((F.col("n_home") > SPLIT) & (F.col("n_shown") > 1)).select(*_CELL), "hot-cells")
-        if not hot.limit(1).count():
+    while True:
+        hot = sizes.where((F.col("n_home") > SPLIT) & (F.col("n_shown") > 1)).select(*_CELL)
+        along = placed.where("home").join(hot, _CELL).select(*_CELL, "r", F.posexplode("p").alias("c", "x")).withColumn("z", F.floor(F.col("x") / F.col("r")))
+        tops = along.groupBy(*_CELL, "c", "z").count().groupBy(*_CELL, "c").agg(F.max("count").alias("top"), F.sum("count").alias("all"))
+        # each cell by the coordinate that spreads it most; one that it was split by before spreads it no more
+        by = write(tops.groupBy(*_CELL).agg(F.min_by("c", F.struct("top", "c")).alias("c"), F.min("top").alias("top"), F.max("all").alias("all")).where(F.col("top") <= F.col("all") * SHARE).select(*_CELL, "c"), "split-cells")
+        if not by.limit(1).count():
             break
-        some = placed.join(hot, _CELL, "left_semi").where(F.size("p") > c).withColumn("z", F.floor(F.get("p", F.lit(c)) / F.col("r")).cast("int"))
-        wide = some.where("home").groupBy(*_CELL, "z").count().groupBy(*_CELL).agg(F.max("count").alias("top"), F.sum("count").alias("all")).where(F.col("top") <= F.col("all") * SHARE)
-        hot = write(wide.select(*_CELL), "split-cells")
-        if not hot.limit(1).count():
-            continue
         # a home vector goes to its place and the next one, a shown one to its place and both neighbours; only the copy in a home vector's own place stays home
+        some = placed.join(by, _CELL).withColumn("z", F.floor(F.get("p", F.col("c")) / F.col("r")).cast("int"))
         to = F.when(F.col("home"), F.array("z", F.col("z") + 1)).otherwise(F.array(F.col("z") - 1, "z", F.col("z") + 1))
-        shown = some.join(hot, _CELL, "left_semi").withColumn("to", F.explode(to))
-        split = shown.select("label", "dims", "block", F.concat("cell", F.array("to")).alias("cell"), "cid", (F.col("home") & (F.col("to") == F.col("z"))).alias("home"), "r", "p")
-        placed = write(placed.join(hot, _CELL, "left_anti").unionByName(split), "cells")
+        split = some.withColumn("to", F.explode(to)).select("label", "dims", "block", F.concat("cell", F.array("c", "to")).alias("cell"), "cid", (F.col("home") & (F.col("to") == F.col("z"))).alias("home"), "r", "p")
+        placed = write(placed.join(by, _CELL, "left_anti").unionByName(split), "cells")
         sizes = write(_sizes(placed), "cell-sizes")
     tiles = _tiles(placed, sizes, scratch)
     found = write(tiles.groupBy(*_TILE).applyInArrow(_screen(least), "label int, dims int, block int, cell array<int>, sg int, hg int, a long, b long"), "candidates")
