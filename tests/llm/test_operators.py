@@ -188,7 +188,7 @@ def test_embedding_join(spark):
     old = [getattr(embedding_join, n) for n in names]
     runs = []
     try:
-        for new in ((2048, 2048, 16, 1 / 3), (16, 8, 0.5, 1.0), (8, 4, 1000, 1.0)):  # as it is, tiles that count, split cells that list
+        for new in ((2048, 2048, 16, 1 / 3), (16, 8, 0.5, 0.9), (8, 4, 1000, 0.9)):  # as it is, tiles that count, split cells that list
             for n, x in zip(names, new, strict=True):
                 setattr(embedding_join, n, x)
             runs.append(sorted(embedding_join.near_vectors(df).collect()))
