@@ -10,4 +10,4 @@ from .errors import (  # noqa: F401
     VerificationError,
     VolumeStateError,
 )
-from .tape import Tape, Volume, create, discover, exists, get_catalog, get_tape  # noqa: F401
+from .tape import Tape, TapeVolume, Volume, create, discover, exists, get_catalog, get_tape  # noqa: F401

@@ -17,7 +17,7 @@ class PathLimitError(ArchiveError, ValueError):
     """A path can't be stored."""
 
 
-class PathReportError(ArchiveError, ValueError):
+class PathReportError(PathLimitError):
     """All paths of a source that can't be stored."""
 
 

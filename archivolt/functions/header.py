@@ -30,6 +30,12 @@ def text_field(text: Column, width: int) -> Column:
     return _or_error(ok, F.rpad(F.hex(F.encode(text, "UTF-8")), 2 * width, "0"), f"text too long for field of {width} bytes")
 
 
+def set_bytes(block: Column, offset: int, data: Column) -> Column:
+    """A block (hex) with data (hex) written over it from a byte offset on; what would reach beyond the block is an error."""
+    fits = (F.lit(offset) >= 0) & (2 * offset + F.char_length(data) <= F.char_length(block))
+    return _or_error(fits, F.overlay(block, data, F.lit(2 * offset + 1)), "bytes reach beyond the block")
+
+
 def byte_sum(hexed: Column) -> Column:
     """Sum of the bytes of a non-empty hex string."""
     return F.aggregate(F.sequence(F.lit(1), F.char_length(hexed), F.lit(2)), F.lit(0).cast("long"), lambda a, i: a + F.conv(F.substring(hexed, i, F.lit(2)), 16, 10).cast("long"))

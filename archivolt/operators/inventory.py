@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from ..constants import REPORT_ROWS
 from ..errors import PathReportError
 from ..functions.entries import effective_size, normalized_mode
-from ..functions.paths import as_patterns, components, excluded, path_violation, truncate_path
+from ..functions.paths import as_patterns, excluded, path_violation, truncate_path
 
 
 def without_excluded(snapshot: DataFrame, exclude: str | Sequence[str] | Callable) -> DataFrame:
@@ -55,7 +56,8 @@ def inventory(snapshot: DataFrame, root_name: str, exclude=(), anonymize: bool =
 def last_writer(rows: DataFrame, key: Sequence[str], seq: Sequence[Column]) -> DataFrame:
     """The last row of each key by seq."""
     w = W.partitionBy(*key).orderBy(*(c.desc() for c in seq))
-    return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    rank = "rank_" + "_".join(rows.columns)  # no column of rows
+    return rows.withColumn(rank, F.row_number().over(w)).where(F.col(rank) == 1).drop(rank)
 
 
 def violations(inv: DataFrame) -> DataFrame:
@@ -81,5 +83,16 @@ def raise_violations(inv: DataFrame, show: int = REPORT_ROWS) -> None:
     raise PathReportError("\n".join(lines))
 
 
-def depth(rel_path: Column) -> Column:
-    return F.when(rel_path == "", F.lit(0)).otherwise(F.size(components(rel_path)))
+def encode_excludes(exclude: str | Sequence[str] | Callable) -> str:
+    """Exclusions as they are stored: JSON, or the name of a callable."""
+    if callable(exclude):
+        return f"<dynamic_callable: {getattr(exclude, '__name__', 'callable')}>"
+    return json.dumps(exclude if isinstance(exclude, str) else list(exclude))
+
+
+def decode_excludes(stored: str):
+    """Stored exclusions: a pattern, a list of them, or the text as it is where it isn't JSON."""
+    try:
+        return json.loads(stored)
+    except ValueError:
+        return stored

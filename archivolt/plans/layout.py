@@ -19,9 +19,11 @@ ONE_TASK_ROWS = 500_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which driver and executors share; a temporary folder where unset."""
+    """spark.checkpoint.dir, which driver and executors share; where it is unset, a temporary folder, in local mode only."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("archivolt.plan.dir", None)
     if not where:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="archivolt-")
         spark.conf.set("archivolt.plan.dir", where)
     return where.rstrip("/")

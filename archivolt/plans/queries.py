@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_EXCLUDES
@@ -349,10 +351,76 @@ def volume_window_offgrid(spark, sf):
     return vol.window_manifest(t, 100001, 300003, _total(t)).select("arc_path", "state", "local_start", "local_end")
 
 
-@query()
+@query(f"WITH {VOL_SQL} SELECT vol_index, vol_start, vol_end, row_number() OVER (PARTITION BY vol_index ORDER BY start_offset) - 1 AS seq, start_offset AS at, arc_path, rel_path, size, mtime, mode, is_dir, is_symlink, linkname, state, start_offset, end_offset, local_start, local_end FROM man")
 def volume_nested_manifest(spark, sf):
+    """The nested manifests, unnested again with each entry's place in its volume."""
     t = tracks(spark, sf)
-    return vol.nested(vol.manifest(t, _total(t), VOLUME))
+    rows = vol.nested(vol.manifest(t, _total(t), VOLUME)).select("vol_index", "vol_start", "vol_end", F.posexplode("entries").alias("seq", "e"))
+    info = ("arc_path", "rel_path", "size", "mtime", "mode", "is_dir", "is_symlink", "linkname")
+    windows = (("global_window", "start_offset", "end_offset"), ("local_window", "local_start", "local_end"))
+    return rows.select("vol_index", "vol_start", "vol_end", F.col("seq").cast("long").alias("seq"), "e.at", *(F.col(f"e.info.{c}") for c in info), "e.state", *(F.col(f"e.{w}.{x}").alias(n) for w, *names in windows for x, n in zip(("start", "end"), names, strict=True)))
+
+
+@query(f"WITH {LAY_SQL}, n AS (SELECT (total + {VOLUME} - 1) // {VOLUME} AS n FROM tot) SELECT v AS vol_index, 'corpus-' || (v + 1) || '-of-' || n || '.' || lpad((v + 1)::VARCHAR, greatest(3, length(n::VARCHAR))::INT, '0') AS vol_name FROM n, (SELECT unnest(range(0, (SELECT n FROM n))) AS v)")
+def volume_template_names(spark, sf):
+    """Names of all volumes by a template; there are as many as volumes."""
+    n = (_total(tracks(spark, sf)) + VOLUME - 1) // VOLUME
+    return spark.createDataFrame([(i, vol.named(i, n, "corpus", "", "{name}-{part}-of-{total}.{pindex}")) for i in range(n)], "vol_index long, vol_name string")
+
+
+@query(f"WITH {LAY_SQL} SELECT row_number() OVER (ORDER BY arc_path) - 1 AS seq, arc_path FROM t")
+def listing_by_path(spark, sf):
+    """The listing in path order, with the place that an ordered read gives each entry."""
+    return _numbered(tracks(spark, sf).orderBy("arc_path").select("arc_path"))
+
+
+@query(f"WITH {LAY_SQL} SELECT row_number() OVER (ORDER BY start_offset) - 1 AS seq, arc_path, start_offset FROM t WHERE end_offset > {RESUME}")
+def listing_from_offset(spark, sf):
+    return _numbered(lay.tracks_from(tracks(spark, sf), RESUME).select("arc_path", "start_offset"))
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Rows with the place at which a reader meets them: sorted partitions one after the other."""
+    path = f"{lay.shared_folder(rows.sparkSession)}/listing-{uuid.uuid4().hex}"
+    rows.withColumns({"part": F.spark_partition_id(), "in_part": F.monotonically_increasing_id()}).write.parquet(path)
+    placed = rows.sparkSession.read.parquet(path)
+    sizes = placed.groupBy("part").count()  # a row for each partition
+    base = sizes.select("part", F.coalesce(F.sum("count").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    own = F.col("in_part").bitwiseAND((1 << 33) - 1)
+    return placed.join(F.broadcast(base), "part").select((F.col("base") + own).alias("seq"), *rows.columns)
+
+
+@query("SELECT * FROM (VALUES ('fingerprint', ''), ('total_size', '7'), ('created_at', '0'), ('exclude_patterns', ''), ('track_count', '0')) AS v(name, value)")
+def stats_defaults(spark, sf):
+    """What stored statistics give for values that are missing or null."""
+    return spark.createDataFrame([(k, str(v)) for k, v in lay.stats_map({"total_size": 7, "created_at": None}).items()], "name string, value string")
+
+
+@query("SELECT range AS seq, (['.DS_Store', 'Thumbs.db', '__pycache__', '*.db-wal', '*.db-shm', '*.sock', 'a\"b,c', 'ñ'])[range + 1] AS pattern FROM range(8)")
+def exclude_codec(spark, sf):
+    """Exclusion patterns after they were stored and read."""
+    back = inv.decode_excludes(inv.encode_excludes([*DEFAULT_EXCLUDES, 'a"b,c', "ñ"]))
+    return spark.createDataFrame(list(enumerate(back)), "seq long, pattern string")
+
+
+@query(f"WITH {SNAPSHOT_SQL} SELECT rel_path, CASE WHEN rel_path = '' THEN '/data/corpus' ELSE '/data/corpus/' || rel_path END AS path FROM snap")
+def absolute_paths(spark, sf):
+    return snapshot(spark, sf).select("rel_path", en.absolute_path("/data/corpus", F.col("rel_path")).alias("path"))
+
+
+@query(f"WITH {HEAD_SQL} SELECT arc_path, substr(header, 1, 200) || '3030303036303000' || substr(header, 217) AS header FROM heads")
+def header_set_bytes(spark, sf):
+    """Headers with another mode written over them."""
+    t = corpus(spark, sf)
+    return t.select("arc_path", F.lower(hd.set_bytes(hd.header_hex(hd.entry_columns()), 100, hd.octal_field(F.lit(0o600), 8))).alias("header"))
+
+
+@query(f"WITH {LAY_SQL} SELECT rel_path FROM t WHERE mtime % 31 = 3 UNION ALL SELECT 'new/' || doc_id FROM documents WHERE doc_id % 50 = 0")
+def untracked_paths(spark, sf):
+    """Present paths that the record lacks: made-up ones, and every entry that is left out of it here."""
+    t = tracks(spark, sf)
+    more = table(spark, sf, "documents").where("doc_id % 50 = 0").select(F.concat(F.lit("new/"), F.col("doc_id").cast("string")).alias("rel_path"))
+    return integrity.untracked(t.where("mtime % 31 <> 3"), t.select("rel_path").union(more))
 
 
 @query(f"WITH {VOL_SQL} SELECT arc_path, count(*) AS n_volumes FROM man GROUP BY arc_path HAVING count(*) > 1")

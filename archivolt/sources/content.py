@@ -51,22 +51,54 @@ def read_range(root: str, rel: str, offset: int, size: int, t_size: int, t_mtime
         raise SnapshotError(f"File can't be read: {arc}: {e}") from e
 
 
+_NEEDED = ("arc_path", "rel_path", "kind", "g_start", "g_end", "src_offset", "skip", "header", "t_size", "t_mtime")
+
+
+def block_bytes(root: str, arc: str, rel: str, kind: str, a: int, b: int, off: int, skip: int, header: str, size: int, mtime: int) -> bytes:
+    """The bytes of one clipped block."""
+    if kind == "header":
+        return bytes.fromhex(header)[skip : skip + b - a]
+    return read_range(root, rel, off, b - a, size, mtime, arc) if kind == "body" else bytes(b - a)
+
+
 def folder_bytes(blocks: DataFrame, tracks: DataFrame, root: str) -> DataFrame:
     """Clipped blocks -> with data, contents read from a folder that all executors see. A block is at most one piece long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for arc, rel, kind, a, b, off, skip, header, size, mtime in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if kind == "header":
-                    data = bytes.fromhex(header)[skip : skip + b - a]
-                elif kind == "body":
-                    data = read_range(root, rel, off, b - a, size, mtime, arc)
-                else:
-                    data = bytes(b - a)
-                yield pa.RecordBatch.from_arrays([pa.array([arc], pa.string()), pa.array([kind]), pa.array([a]), pa.array([b]), pa.array([data], pa.binary())], names=["arc_path", "kind", "g_start", "g_end", "data"])
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                arc, _, kind, a, b = row[:5]
+                yield pa.RecordBatch.from_arrays([pa.array([arc], pa.string()), pa.array([kind]), pa.array([a]), pa.array([b]), pa.array([block_bytes(root, *row)], pa.binary())], names=["arc_path", "kind", "g_start", "g_end", "data"])
+
+    return with_headers(blocks, tracks).select(*_NEEDED).mapInArrow(run, DATA)
+
+
+def folder_digests(blocks: DataFrame, tracks: DataFrame, root: str, key: str) -> DataFrame:
+    """Clipped blocks with a key -> key, n_bytes, md5 over each key's bytes in order, read from a folder that all executors see.
+
+    Only rows of the plan are shuffled: the task that gets a key's blocks, sorted, reads and digests them piece by piece.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, h, n = None, None, 0
+        for batch in batches:
+            for k, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if h is None or k != now:
+                    if h is not None:
+                        yield _digest_row(key, now, n, h)
+                    now, h, n = k, hashlib.md5(), 0
+                data = block_bytes(root, *row)
+                h.update(data)
+                n += len(data)
+        if h is not None:
+            yield _digest_row(key, now, n, h)
+
+    rows = with_headers(blocks, tracks).select(F.col(key).cast("long").alias(key), *_NEEDED)
+    return rows.repartition(key).sortWithinPartitions(key, "g_start").mapInArrow(run, f"{key} long, n_bytes long, md5 string")
+
 
-    rows = with_headers(blocks, tracks).select("arc_path", "rel_path", "kind", "g_start", "g_end", "src_offset", "skip", "header", "t_size", "t_mtime")
-    return rows.mapInArrow(run, DATA)
+def _digest_row(key: str, value: int, n: int, h) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([value], pa.int64()), pa.array([n], pa.int64()), pa.array([h.hexdigest()])], names=[key, "n_bytes", "md5"])
 
 
 def column_bytes(blocks: DataFrame, tracks: DataFrame, contents: DataFrame, content: str = "content") -> DataFrame:
@@ -85,18 +117,17 @@ def ordered_digest(data: DataFrame, key: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, h, n = None, None, 0
-        done = lambda: pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([n], pa.int64()), pa.array([h.hexdigest()])], names=[key, "n_bytes", "md5"])
         for batch in batches:
             for k, d in zip(batch.column(0), batch.column(1), strict=True):
                 k = k.as_py()
                 if h is None or k != now:
                     if h is not None:
-                        yield done()
+                        yield _digest_row(key, now, n, h)
                     now, h, n = k, hashlib.md5(), 0
                 h.update(d.as_buffer())
                 n += len(d.as_buffer())
         if h is not None:
-            yield done()
+            yield _digest_row(key, now, n, h)
 
     rows = data.select(F.col(key).cast("long").alias(key), "g_start", "data").repartition(key).sortWithinPartitions(key, "g_start").select(key, "data")
     return rows.mapInArrow(run, f"{key} long, n_bytes long, md5 string")

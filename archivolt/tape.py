@@ -9,16 +9,18 @@ import os
 import shutil
 import time
 import uuid
+from abc import abstractmethod
 from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .constants import DEFAULT_EXCLUDES, META_DIR, PIECE, SAMPLE_ROWS
+from .constants import CACHE_FLUSH_BYTES, DEFAULT_EXCLUDES, META_DIR, PIECE, SAMPLE_ROWS
 from .errors import ArchiveNotFoundError, OffsetError, SnapshotError, VerificationError, VolumeStateError
 from .operators import hash_cache, integrity
-from .operators.inventory import inventory, raise_violations
+from .functions.paths import as_patterns
+from .operators.inventory import decode_excludes, encode_excludes, inventory, raise_violations
 from .plans import blocks as blk
 from .plans import layout as lay
 from .plans import volumes as vol
@@ -57,8 +59,16 @@ def cache_folder() -> Path:
     return Path(os.environ.get("LOCALAPPDATA") or Path.home() / ".cache") / "archivolt" / "hashes"
 
 
+#: Most times that new digests are written out while a folder is hashed.
+MOST_FLUSHES = 100
+
+
 def _digests(spark: SparkSession, inv: DataFrame, root: Path, folder: Path) -> DataFrame:
-    """inventory with content digests, from the folder's cache where it has them; the cache is replaced whole, the oldest ones beyond the limits dropped."""
+    """inventory with content digests, from the folder's cache where it has them.
+
+    New digests are appended to the cache by parts of about CACHE_FLUSH_BYTES of content, so what a crash leaves is not lost. At the end the cache is written
+    anew without double keys and moved into place; the oldest caches beyond the limits are dropped.
+    """
     folder.mkdir(parents=True, exist_ok=True)
     listing = [(p.name, p.stat().st_mtime, sum(f.stat().st_size for f in p.rglob("*") if f.is_file())) for p in folder.glob("*.db")]
     if listing:
@@ -66,42 +76,56 @@ def _digests(spark: SparkSession, inv: DataFrame, root: Path, folder: Path) -> D
             shutil.rmtree(folder / row["name"], ignore_errors=True)
     own = folder / f"cache_{hashlib.sha1(str(root).encode()).hexdigest()}.db"
     key = "arc_path string, size long, mtime long, md5sum string"
-    cache = spark.read.schema(key).parquet(str(own)) if own.exists() else spark.createDataFrame([], key)
-    probed = hash_cache.probe(inv, cache)
-    fresh = content.content_digests(probed.where("not hit"), str(root))
-    new = folder / f"{own.name}.{uuid.uuid4().hex}"
-    hash_cache.merged(cache, fresh).write.parquet(str(new))
-    if own.exists():
-        shutil.rmtree(own)
+
+    def cached() -> DataFrame:
+        return spark.read.schema(key).parquet(str(own)) if own.exists() else spark.createDataFrame([], key)
+
+    wanted = hash_cache.probe(inv, cached()).where("not hit and not is_dir and not is_symlink")
+    weight = wanted.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    flushes = min(MOST_FLUSHES, max(1, -(-weight // CACHE_FLUSH_BYTES)))
+    part = F.pmod(F.xxhash64("arc_path"), F.lit(flushes))
+    # the parts are looked up against the cache as it was: what they append must not be read while it is written
+    pending = folder / f"{own.name}.{uuid.uuid4().hex}"
+    try:
+        wanted.drop("hit").select("arc_path", "rel_path", "size", "mtime", "is_dir", "is_symlink", part.alias("part")).write.parquet(str(pending))
+        for i in range(flushes):
+            content.content_digests(spark.read.parquet(str(pending)).where(F.col("part") == i), str(root)).write.mode("append").parquet(str(own))
+    finally:
+        shutil.rmtree(pending, ignore_errors=True)
+    new, old = (folder / f"{own.name}.{uuid.uuid4().hex}" for _ in range(2))
+    cached().dropDuplicates(list(hash_cache.KEY)).write.parquet(str(new))
+    own.rename(old)
     new.rename(own)
-    return hash_cache.probe(inv, spark.read.schema(key).parquet(str(own))).drop("hit").select(*inv.columns)
+    shutil.rmtree(old)
+    return hash_cache.probe(inv, cached()).drop("hit").select(*inv.columns)
 
 
 def create(directory, exclude=None, anonymize: bool = True, calculate_hashes: bool = False, overwrite: bool = False, auto_truncate: bool = False, spark: SparkSession | None = None, cache_dir=None) -> Tape:
-    """Record a folder. Its tables are written beside and moved into place, so a half-written record is never seen."""
+    """Record a folder. Its tables are written beside and moved into place, so a half-written record is never seen; an old record goes only then."""
     root = Path(directory).resolve()
     if not root.is_dir():
         raise ValueError(f"{root} is not a directory")
     meta = root / META_DIR
-    if (meta / "tracks").exists():
-        if not overwrite:
-            raise FileExistsError(f"{root} is already recorded")
-        shutil.rmtree(meta)
+    if (meta / "tracks").exists() and not overwrite:
+        raise FileExistsError(f"{root} is already recorded")
     spark = _spark(spark)
     rules = DEFAULT_EXCLUDES if exclude is None else exclude
-    inv = inventory(filesystem.scan(spark, str(root), (META_DIR,)), root.name, rules, anonymize, auto_truncate)
+    found = filesystem.scan(spark, str(root), (META_DIR,), () if callable(rules) else as_patterns(rules))
+    inv = inventory(found, root.name, rules, anonymize, auto_truncate)
     raise_violations(inv)
     if calculate_hashes:
         inv = _digests(spark, inv, root, Path(cache_dir) if cache_dir else cache_folder())
-    said = f"<dynamic_callable: {getattr(exclude, '__name__', 'callable')}>" if callable(exclude) else json.dumps(rules if isinstance(rules, str) else list(rules))
-    part = root / f"{META_DIR}.{uuid.uuid4().hex}"
+    part, old = (root / f"{META_DIR}.{uuid.uuid4().hex}" for _ in range(2))
     try:
         lay.layout(inv).orderBy("start_offset").write.parquet(str(part / "tracks"))  # by offset, so range filters skip row groups
-        lay.stats(spark.read.parquet(str(part / "tracks")), int(time.time()), said).write.parquet(str(part / "stats"))
+        lay.stats(spark.read.parquet(str(part / "tracks")), int(time.time()), encode_excludes(rules)).write.parquet(str(part / "stats"))
+        if meta.exists():
+            meta.rename(old)
         part.rename(meta)
     finally:
-        if part.exists():
-            shutil.rmtree(part)
+        for left in (part, old):
+            if left.exists():
+                shutil.rmtree(left)
     return Tape(root, spark)
 
 
@@ -123,11 +147,7 @@ class Tape:
 
     @property
     def exclude_patterns(self):
-        raw = self.stats["exclude_patterns"]
-        try:
-            return json.loads(raw)
-        except ValueError:
-            return raw
+        return decode_excludes(self.stats["exclude_patterns"])
 
     def get_tracks(self) -> DataFrame:
         return self.tracks.orderBy("arc_path")
@@ -227,32 +247,60 @@ class Tape:
 
     def volume_digests(self, size: int) -> DataFrame:
         """vol_index, n_bytes, md5 of all volumes, each in one task of its own."""
-        cut = blk.by_volume(blk.block_plan(self.tracks, min(PIECE, size)), size)
-        data = content.folder_bytes(cut.drop("vol_index"), self.tracks, str(self.directory))
-        return content.ordered_digest(data.withColumn("vol_index", F.floor(F.col("g_start") / size)), "vol_index")
+        return content.folder_digests(blk.by_volume(blk.block_plan(self.tracks, min(PIECE, size)), size), self.tracks, str(self.directory), "vol_index")
 
     def iter_volumes(self, size: int, naming_template: str | None = None) -> Iterator[tuple[Volume, dict]]:
+        """All volumes in order. One job computes the manifests, which come to the driver one volume at a time."""
         vol.check_size(size)
         n = (self.total_size + size - 1) // size
+        rows = vol.nested(self.manifest(size)).orderBy("vol_index").toLocalIterator()
+        row = next(rows, None)
         for i in range(n):
-            yield self._volume(i, i * size, min((i + 1) * size, self.total_size), vol.named(i, n, self.directory.name, self.fingerprint, naming_template))
+            own = row is not None and row["vol_index"] == i
+            yield self._volume(i, i * size, min((i + 1) * size, self.total_size), vol.named(i, n, self.directory.name, self.fingerprint, naming_template), row["entries"] if own else [])
+            row = next(rows, None) if own else row
 
     def get_volume(self, name: str, index: int, start: int, end: int) -> tuple[Volume, dict]:
         """Any window as a volume."""
-        return self._volume(index, start, end, name)
-
-    def _volume(self, index: int, start: int, end: int, name: str) -> tuple[Volume, dict]:
         rows = vol.nested(vol.window_manifest(self.tracks, start, end, self.total_size, index)).collect()  # one volume's manifest
-        made = {"tape_fingerprint": self.fingerprint, "volume_index": index, "start_offset": start, "end_offset": end, "chunk_size": end - start, "entries": [e.asDict(True) for e in rows[0]["entries"]] if rows else []}
+        return self._volume(index, start, end, name, rows[0]["entries"] if rows else [])
+
+    def _volume(self, index: int, start: int, end: int, name: str, entries: list) -> tuple[Volume, dict]:
+        made = {"tape_fingerprint": self.fingerprint, "volume_index": index, "start_offset": start, "end_offset": end, "chunk_size": end - start, "entries": [e.asDict(True) for e in entries]}
         return Volume(self, name, start, end), made
 
 
-class Volume(io.RawIOBase):
+class TapeVolume(io.RawIOBase):
+    """What every kind of volume has, whatever its bytes come from: a name, a size, reading, seeking, and a digest of the whole."""
+
+    name: str
+    size: int
+
+    @property
+    @abstractmethod
+    def is_completed(self) -> bool:
+        """Whether reading stands at the end."""
+
+    @property
+    @abstractmethod
+    def md5sum(self) -> str:
+        """Digest of the whole volume."""
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+
+class Volume(TapeVolume):
     """A slice of the stream as a read-only, seekable file. It opens with `with`."""
 
     def __init__(self, tape: Tape, name: str, start: int, end: int):
         self.tape, self.name, self.start_offset, self.end_offset, self.size = tape, name, start, end, end - start
-        self._open, self._at, self._rows, self._held, self._md5 = False, 0, None, b"", None
+        self._open, self._at, self._rows, self._held = False, 0, None, b""
+        #: A digest of the volume's first bytes, as far as reading went without a gap.
+        self._digest, self._digested = hashlib.md5(), 0
 
     def __enter__(self):
         self._open, self._at, self._rows, self._held = True, 0, None, b""
@@ -265,12 +313,6 @@ class Volume(io.RawIOBase):
         if not self._open:
             raise VolumeStateError("I/O operation on closed volume")
 
-    def readable(self):
-        return True
-
-    def seekable(self):
-        return True
-
     def tell(self):
         self._check()
         return self._at
@@ -298,19 +340,23 @@ class Volume(io.RawIOBase):
             take = self._held[: want - len(out)]
             out += take
             self._held = self._held[len(take) :]
+        self._note(self._at, out)
         self._at += len(out)
         return bytes(out)
 
+    def _note(self, at: int, data: bytes) -> None:
+        if at <= self._digested < at + len(data):
+            self._digest.update(memoryview(data)[self._digested - at :])
+            self._digested = at + len(data)
+
     @property
     def is_completed(self) -> bool:
         return self._at == self.size
 
     @property
     def md5sum(self) -> str:
-        """Of the whole volume, wherever reading stands."""
-        if self._md5 is None:
-            h = hashlib.md5()
-            for row in self.tape._rows(self.start_offset, self.end_offset):
-                h.update(row["data"])
-            self._md5 = h.hexdigest()
-        return self._md5
+        """Of the whole volume, wherever reading stands: what was read in order is not read again."""
+        if self._digested < self.size:
+            for row in self.tape._rows(self.start_offset + self._digested, self.end_offset):
+                self._note(row["g_start"] - self.start_offset, row["data"])
+        return self._digest.hexdigest()

@@ -176,3 +176,101 @@ def test_create_rules(tmp_path, spark):
         archivolt.create(root, overwrite=True, spark=spark)
     tape = archivolt.create(root, overwrite=True, auto_truncate=True, spark=spark)
     assert max(len(r["arc_path"]) for r in tape.get_tracks().collect()) == len("dataset/f/") + 100
+
+
+def test_scan_prunes_and_survives_unreadable_folders(tmp_path, spark, monkeypatch):
+    from archivolt.sources import filesystem
+
+    root = tmp_path / "dataset"
+    root.mkdir()
+    build(root, {f"d{i}/e{j}/f.txt": b"x" for i in range(9) for j in range(9)} | {"node_modules/a/b.js": b"y", "d0/__pycache__/m.pyc": b"z"})
+    reader = filesystem._Reader(str(root), (".archivolt",), ["node_modules", "__pycache__"])
+    entered = []
+    real = os.scandir
+    monkeypatch.setattr(os, "scandir", lambda p: entered.append(str(p)) or real(p))
+    parts = reader.partitions()
+    rows = [r[0] for p in parts for r in reader.read(p)]
+    assert sum(p.deep for p in parts) == 81 and len(rows) == len(set(rows)) == 1 + 9 + 81 + 81
+    assert not any("node_modules" in p or "__pycache__" in p for p in entered)
+
+    def closed(p):
+        if str(p).endswith("d3"):
+            raise PermissionError(p)
+        return real(p)
+
+    monkeypatch.setattr(os, "scandir", closed)
+    rows = [r[0] for r in filesystem.walk(str(root), "", True, reader._rule())]
+    assert "d3" in rows and "d3/e0" not in rows and "d4/e0/f.txt" in rows
+
+
+def test_a_failed_overwrite_keeps_the_record(tmp_path, spark):
+    root = tmp_path / "dataset"
+    root.mkdir()
+    build(root, {"x.txt": b"one"})
+    before = archivolt.create(root, spark=spark).fingerprint
+    (root / ("n" * 101)).write_bytes(b"")
+    with pytest.raises(archivolt.PathLimitError):
+        archivolt.create(root, spark=spark, overwrite=True)
+    assert archivolt.get_tape(root, spark).fingerprint == before
+    os.remove(root / ("n" * 101))
+    (root / "y.txt").write_bytes(b"two")
+    assert archivolt.create(root, spark=spark, overwrite=True).count_files == 3 and sorted(p.name for p in root.iterdir()) == [".archivolt", "x.txt", "y.txt"]
+
+
+def test_volume_digest_reads_only_what_was_not_read(made, monkeypatch):
+    tape = made[2]
+    volume, manifest = next(iter(tape.iter_volumes(4096)))
+    assert isinstance(volume, archivolt.TapeVolume) and set(manifest) == {"tape_fingerprint", "volume_index", "start_offset", "end_offset", "chunk_size", "entries"}
+    assert set(manifest["entries"][0]) == {"at", "info", "state", "global_window", "local_window"}
+    with volume as v:
+        first = v.read(1000)
+        v.seek(3000)
+        v.read(10)
+        asked = []
+        real = tape._rows
+        monkeypatch.setattr(tape, "_rows", lambda a, b=None: asked.append(a) or real(a, b))
+        v.seek(0)
+        whole = v.read()
+        assert whole[:1000] == first and v.md5sum == hashlib.md5(whole).hexdigest() and asked == [0]
+        with pytest.raises(ValueError):
+            v.seek(0, 9)
+
+
+def test_changed_files_are_not_emitted(tmp_path):
+    from archivolt.sources.content import read_range
+
+    f = tmp_path / "f"
+    f.write_bytes(b"12345")
+    os.utime(f, (100, 100))
+    assert read_range(str(tmp_path), "f", 1, 3, 5, 100, "f") == b"234"
+    for size, mtime, said in ((6, 100, "size changed"), (5, 101, "modified")):
+        with pytest.raises(SnapshotError, match=said):
+            read_range(str(tmp_path), "f", 0, 5, size, mtime, "f")
+    with pytest.raises(SnapshotError, match="missing"):
+        read_range(str(tmp_path), "g", 0, 5, 5, 100, "g")
+
+
+def test_hash_cache_keeps_digests_of_a_broken_run(tmp_path, spark, monkeypatch):
+    from archivolt import tape as facade
+
+    root, cache = tmp_path / "dataset", tmp_path / "cache"
+    root.mkdir()
+    files = {f"f{i}": bytes([i]) * 100 for i in range(20)}
+    build(root, files)
+    monkeypatch.setattr(facade, "CACHE_FLUSH_BYTES", 400)
+    real, calls = facade.content.content_digests, []
+
+    def breaks(inv, where):
+        calls.append(1)
+        if len(calls) == 3:
+            raise RuntimeError("lost")
+        return real(inv, where)
+
+    monkeypatch.setattr(facade.content, "content_digests", breaks)
+    with pytest.raises(RuntimeError):
+        archivolt.create(root, spark=spark, calculate_hashes=True, cache_dir=cache)
+    kept = spark.read.parquet(str(next(cache.glob("*.db")))).count()
+    assert 0 < kept < 20
+    tape = archivolt.create(root, spark=spark, calculate_hashes=True, cache_dir=cache)
+    got = {r["rel_path"]: r["md5sum"] for r in tape.tracks.where("not is_dir").collect()}
+    assert got == {n: hashlib.md5(b).hexdigest() for n, b in files.items()} and len(list(cache.iterdir())) == 1
