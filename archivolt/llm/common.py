@@ -8,7 +8,6 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Bytes up to which a table is broadcast; above it Spark shuffles.
@@ -152,16 +151,41 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         lab = scratch.write(up.select("id", F.least("comp", F.coalesce("up", "comp")).alias("comp")), "labels")
 
 
-def fitting_texts(docs: DataFrame, group: Column, limit: int) -> dict:
-    """{group: texts} of at most `limit` rows of each group, the first by a hash of doc_id, doc_id and a hash of the text: the same on every run.
+def first_keys(rows: DataFrame, limit: int) -> dict:
+    """{g: keys} of rows (g, d, k): of each group the `limit` different (d, k) that are first by a hash; the same on every run and partitioning.
 
-    Null groups, ids and texts are left out; equal rows give their text once. Each task keeps `limit` rows of a group, so groups must be few.
+    Only keys below a bound of the hash are sent to the driver, a few times `limit` for each group; the bound rises where that gives too few. Groups must
+    be few.
     """
-    rows = docs.select(group.alias("g"), F.col("doc_id").alias("d"), F.xxhash64("text").alias("k"), F.col("text").alias("t")).where("g is not null and d is not null and t is not null")
-    first = W.partitionBy("g").orderBy(F.xxhash64("d"), "d", "k")
-    some = rows.select("g", "d", "k").withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= limit).select("g", "d", "k").distinct()
-    found = rows.join(F.broadcast(some), ["g", "d", "k"]).groupBy("g", "d", "k").agg(F.min("t").alias("t"))
+    rows = rows.where("g is not null").withColumn("h", F.xxhash64("d", "k"))
+    share = {r["g"]: min(1.0, 4 * limit / r["n"]) for r in rows.groupBy("g").agg(F.count("*").alias("n")).collect()}
     out: dict = {}
-    for r in found.orderBy("g", F.xxhash64("d"), "d", "k").toLocalIterator():
-        out.setdefault(r["g"], []).append(r["t"])
+    while share:
+        tops = F.create_map(*(F.lit(x) for g, s in share.items() for x in (g, min(2**63 - 1, int(-(2**63) + s * 2**64)))))
+        found: dict = {}
+        for r in rows.where(F.col("h") <= tops[F.col("g")]).groupBy("g", "h", "d", "k").count().collect():
+            found.setdefault(r["g"], []).append((r["h"], r["d"], r["k"]))
+        for g, s in list(share.items()):
+            if len(found.get(g, ())) >= limit or s == 1.0:
+                out[g] = [(d, k) for _, d, k in sorted(found.get(g, ()))[:limit]]
+                del share[g]
+            else:
+                share[g] = min(1.0, 4 * s)
     return out
+
+
+def fitting_texts(docs: DataFrame, group: Column, limit: int, where: Column | None = None) -> dict:
+    """{group: texts} of at most `limit` different rows (doc_id, text) of each group, as first_keys picks them.
+
+    Null groups, ids and texts are left out, as is what `where` excludes; equal rows give their text once.
+    """
+    def rows(of: DataFrame) -> DataFrame:
+        return of.select(group.alias("g"), F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("k"), F.col("text").alias("t")).where("d is not null and t is not null")
+
+    keys = first_keys(rows(docs if where is None else docs.where(where)).select("g", "d", "k"), limit)
+    if not keys:
+        return {}
+    some = docs.sparkSession.createDataFrame([(d, k) for own in keys.values() for d, k in own], "d long, k long").distinct()  # `limit` for each group at most
+    found = rows(docs).select("d", "k", "t").join(F.broadcast(some), ["d", "k"]).groupBy("d", "k").agg(F.min("t").alias("t"))
+    texts = {(r["d"], r["k"]): r["t"] for r in found.toLocalIterator()}
+    return {g: [texts[x] for x in own] for g, own in keys.items()}

@@ -230,7 +230,7 @@ def learn(texts: list[str], rounds: int = 400, rate: float = 0.5, ridge: float =
 
 def fit(docs: DataFrame, fit_docs: int = FIT_DOCS) -> SkipChain:
     """Potentials from up to fit_docs texts that hold a digit or an at sign, the same ones on every run. Null ids and texts are left out."""
-    return learn(fitting_texts(docs.where(F.col("text").rlike("[0-9@]")), F.lit(1), fit_docs).get(1, []))
+    return learn(fitting_texts(docs, F.lit(1), fit_docs, F.col("text").rlike("[0-9@]")).get(1, []))
 
 
 def _listed(spans: list[tuple[int, int, int]]) -> str:

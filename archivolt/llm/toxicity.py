@@ -15,10 +15,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fitting_texts, slices
+from .common import first_keys, fitting_texts, slices
 from .language_id import held_out
 
 #: Labelled documents of each class that the lexicon is fitted on, the first by a hash of doc_id.
@@ -209,8 +208,8 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Lexicon
     Null ids, texts and labels, and documents labelled both ways, are left out.
     """
     marks = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("toxic").alias("lo"), F.max("toxic").alias("hi")).where("lo = hi")
-    first = W.partitionBy("hi").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = marks.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= fit_docs).select("doc_id", F.col("hi").alias("toxic"))
+    ids = first_keys(marks.select(F.col("hi").alias("g"), F.col("doc_id").cast("long").alias("d"), F.lit(0).cast("long").alias("k")), fit_docs)
+    chosen = docs.sparkSession.createDataFrame([(d, g) for g, own in ids.items() for d, _ in own], "doc_id long, toxic int")
     marked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most 2 * fit_docs ids
     sides = fitting_texts(marked, F.col("toxic"), fit_docs)
     return learn(sides.get(1, []), sides.get(0, []))
