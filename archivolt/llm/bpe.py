@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import slices
 
 #: Runs whose ids a worker remembers, each of at most MEMO_CHARS; the cache is emptied when full.
-MEMO, MEMO_CHARS = 400_000, 64
+MEMO, MEMO_CHARS = 200_000, 64
 #: Characters of a text that are looked at together.
 PIECE = 1 << 16
 _SPACE = "\t-\r \x85\xa0  -     　"
