@@ -27,8 +27,8 @@ SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8
 _COUNT = np.array([0, *(n for n, _ in SELECTORS)])
 #: Ids of a block, unless one document has more.
 BLOCK_IDS = 1 << 16
-#: Bytes of text for a shard, and most shards.
-SHARD_BYTES, MOST_SHARDS = 64 << 20, 10_000
+#: Bytes of the table for a shard, and most shards; what Spark estimates where it can't tell is at least UNKNOWN.
+SHARD_BYTES, MOST_SHARDS, UNKNOWN = 16 << 20, 10_000, 1 << 60
 
 
 def pack(ids: np.ndarray) -> np.ndarray:
@@ -117,7 +117,7 @@ _SIGNS = "".join(map(chr, [*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B,
 #: Words encoded as one run, and runs in one call.
 RUN, RUNS = 256, 16
 #: Bytes of text whose different words are found together.
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 #: Rows of the batches between Spark and Python.
 BATCH_ROWS = 250
 
@@ -299,13 +299,17 @@ def write_ids(docs: DataFrame, path: str, end_id: int = 1, shards: int | None =
     """Encode docs (doc_id, text), append end_id to each, and write shards in ascending doc_id order; returns their folder.
 
     Null texts are empty: the end id only. Null ids come first; rows of one id are ordered by a hash of their texts. Other columns are ignored. An
-    empty table makes no block. There is a shard for each SHARD_BYTES of text, one for each core at least and MOST_SHARDS at most; shard bounds are
+    empty table makes no block. There is a shard for each SHARD_BYTES of the table by Spark's statistics (of text, counted, where there are none), one for each core
+    at least and MOST_SHARDS at most; shard bounds are
     approximate quantiles of doc_id, and an id of many rows, or null, has several shards.
     """
     spark = docs.sparkSession
     i = F.col("doc_id").cast("long")
-    seen = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("known"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
-    shards = shards or min(MOST_SHARDS, max(spark.sparkContext.defaultParallelism, -(-seen["bytes"] // SHARD_BYTES)))
+    seen = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("known")).first()
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= UNKNOWN:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    shards = shards or min(MOST_SHARDS, max(spark.sparkContext.defaultParallelism, -(-size // SHARD_BYTES)))
     marks = docs.agg(F.percentile_approx(i, [k / shards for k in range(1, shards)] or [0.5], max(10000, 2 * shards)).alias("q")).first()["q"] or []
     dealt = Shards(marks, -(-(seen["n"] - seen["known"]) * shards // max(1, seen["n"])))
     rows = docs.select(i.alias("doc_id"), F.xxhash64("text").alias("tie"), F.make_valid_utf8("text").alias("t"))
