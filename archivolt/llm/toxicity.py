@@ -147,13 +147,14 @@ def _entries(folded: str) -> set[str]:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 0.1) -> np.ndarray:
-    """Newton's method; the first weight is the intercept."""
+    """Newton's method, both classes weighing the same; the first weight is the intercept."""
     x = np.hstack([np.ones((len(x), 1)), x])
     w = np.zeros(x.shape[1])
+    share = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y) + ridge * w * (np.arange(len(w)) > 0)
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag([1e-9, *[ridge] * (len(w) - 1)])
+        g = x.T @ (share * (p - y)) + ridge * w * (np.arange(len(w)) > 0)
+        h = (x * (share * p * (1 - p))[:, None]).T @ x + np.diag([1e-9, *[ridge] * (len(w) - 1)])
         d = np.linalg.solve(h, g)
         w -= d
         if np.abs(d).max() < 1e-8:
