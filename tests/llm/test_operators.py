@@ -51,8 +51,24 @@ def brute_components(sets, percent):
     return [find(i) for i in range(len(sets))]
 
 
-def test_near_duplicates(spark):
-    texts = near_texts(random.Random(5))
+def crowd_texts(rng):
+    """Texts that share most words, but too few; some differ from another one by a word or more, around the threshold."""
+    common = [f"c{i}" for i in range(150)]
+    texts = []
+    for i in range(300):
+        own = [f"u{i}_{j}" for j in range(38)]
+        if i % 3 == 1:
+            own = texts[rng.randrange(len(texts))].split()[150:]
+            for _ in range(rng.randrange(1, 9)):
+                own[rng.randrange(38)] = f"v{i}_{rng.randrange(99)}"
+        texts.append(" ".join(common + own))
+    return texts
+
+
+@pytest.mark.parametrize(("make", "cool"), [(near_texts, 64), (near_texts, 1), (crowd_texts, 64), (crowd_texts, 1)])
+def test_near_duplicates(spark, monkeypatch, make, cool):
+    monkeypatch.setattr(near_dup, "COOL_ROWS", cool)
+    texts = make(random.Random(5))
     out = {r["doc_id"]: r for r in near_dup.near_duplicates(docs_of(spark, list(enumerate(texts))), words=4).collect()}
 
     def shingles(t):
