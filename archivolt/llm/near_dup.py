@@ -7,9 +7,8 @@ count, spares most exact checks. What survives is confirmed exactly on the full
 
 Groups of copies never become all pairs. Documents with equal sets are one class from the start. Each
 document is first compared with one smallest id of its band buckets, then, where a bucket still holds several components of confirmed
-links, with that bucket's smallest id; last, only members of different components in one bucket are compared. In a crowded bucket, where texts share much
-but less than the threshold, only those of them that have one of their rarest shingles in common: two sets of that similarity must. So every pair of
-bucket-mates is either in one component or has been checked, or cannot be alike.
+links, with that bucket's smallest id; last, only members of different components in one bucket are compared. So every pair of bucket-mates is
+either in one component or has been checked.
 """
 
 from __future__ import annotations
@@ -19,10 +18,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import COOL_ROWS, Scratch, connected_components, lookup, materialize, maybe_broadcast, slices
+from .common import Scratch, connected_components, lookup, materialize, maybe_broadcast, slices
 
 #: 42 bands of 6 rows miss a pair of similarity 0.8 with probability 3e-6, one of 0.9 with 1e-14.
 BANDS, ROWS = 42, 6
@@ -106,10 +105,6 @@ def parity_sketch(x: np.ndarray) -> np.ndarray:
     return np.packbits(odd).view(np.int64)
 
 
-def _digest(s: np.ndarray) -> bytes:
-    return hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=16).digest()
-
-
 def _sign(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -120,7 +115,7 @@ def _sign(words: int):
                 keys[some], sig[some, :PLANES] = signature([sets[i] for i in some])
                 for i in some:
                     sig[i, PLANES:] = parity_sketch(sets[i])
-            d = np.frombuffer(b"".join(_digest(s) for s in sets), "<i8").reshape(-1, 2)
+            d = np.frombuffer(b"".join(hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=16).digest() for s in sets), "<i8").reshape(-1, 2)
             lists = lambda x: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.ravel()))
             more = batch.columns[2:]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), lists(keys), lists(sig), *more], names=["id", "n", "d0", "d1", "bands", "sig", "key"][: 6 + len(more)])
@@ -128,18 +123,6 @@ def _sign(words: int):
     return run
 
 
-def _shingles(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 100):
-            sets = [shingle_set(t, words) for t in batch.column(1).to_pylist()]
-            d = np.frombuffer(b"".join(_digest(s) for s in sets), "<i8").reshape(-1, 2)
-            at = np.cumsum([0, *(len(s) for s in sets)], dtype=np.int32)
-            h = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(d[:, 0]), pa.array(d[:, 1]), h], names=["id", "d0", "d1", "hs"])
-
-    return run
-
-
 def _confirm(words: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_id, last = object(), None
@@ -172,11 +155,11 @@ def _alike(na: Column, nb: Column, sa: Column, sb: Column, percent: int) -> Colu
         for x in diff[1:]:
             any_diff = any_diff.bitwiseOR(x)
         differ.append(F.bit_count(any_diff))
-    unequal = [F.bit_count(sa[i].bitwiseXOR(sb[i])) for i in range(PLANES, PLANES + PARITY // 64)]
-    ham = sum(unequal[1:], unequal[0])  # compared twice: the second bound is dear and seldom reached
+    # a function of arrays, since with all words written out the generated method is too large for the JVM to compile
+    ham = F.aggregate(F.zip_with(F.slice(sa, PLANES + 1, PARITY // 64), F.slice(sb, PLANES + 1, PARITY // 64), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
     most = (na + nb) * (100 - percent) / (100 + percent)  # symmetric difference of the sets
     mean, sd = PARITY / 2 * (1 - F.exp(-2 * most / PARITY)), F.sqrt(PARITY / 4 * (1 - F.exp(-4 * most / PARITY)))
-    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (PERMS - sum(differ[1:], differ[0]) >= PERMS * floor) & (ham <= most) & (ham <= mean + SIGMAS * sd)
+    return (F.least(na, nb) * 100 >= F.greatest(na, nb) * percent) & (PERMS - sum(differ[1:], differ[0]) >= PERMS * floor) & (ham <= F.least(most, mean + SIGMAS * sd))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, text_key: bool = False) -> DataFrame:
@@ -201,7 +184,7 @@ def _near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str, text_col: s
     banded = reps.select("id", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("top")).where("pivot < top").select("key", "pivot")
     members = write(banded.join(shared, "key"), "members")
-    sigs = reps.select("id", "d0", "d1", "n", "sig")
+    sigs = reps.select("id", "n", "sig")
 
     def screened(pairs: DataFrame) -> DataFrame:
         """pairs (a, b) that signatures allow; a is a pivot, which many rows may share."""
@@ -231,40 +214,14 @@ def _near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str, text_col: s
         mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by("comp", "id").alias("base")).where("lo < hi").select("key", "base")
         return placed.join(mixed, "key")
 
-    def crowded(many: DataFrame) -> DataFrame:
-        """Pairs (a, b) of members of different components that share a bucket and one of their rarest shingles, and that signatures allow.
-
-        Shingles are ordered by their number in these documents, then by hash. Of n shingles the first n - ceil(n * percent / 100) + 1 are looked at: sets
-        that share none of those in both lists share too few of the rest.
-        """
-        who = ["id", "d0", "d1"]
-        people = many.groupBy(*who).agg(*(F.first(c).alias(c) for c in ("comp", "n", "sig")), F.max(F.col("comp") != F.col("base")).alias("out"), F.collect_set("key").alias("keys"))
-        people = write(people, "people")
-        ids = people.select("id").distinct()
-        sets = rows.join(maybe_broadcast(ids, 16 * people.count()), "id", "left_semi").select("id", "t").mapInArrow(_shingles(words), "id long, d0 long, d1 long, hs array<long>")
-        held = write(sets.dropDuplicates(who).join(people.select(*who, "comp", "n"), who).select(*who, "comp", "n", F.explode("hs").alias("h")), "shingles")
-        counts = held.groupBy("h").agg(F.count("*").alias("df"), (F.min("comp") < F.max("comp")).alias("met"))
-        ranked = lookup(held, ["h"], counts).withColumn("r", F.row_number().over(Window.partitionBy(*who).orderBy("df", "h")))
-        rare = write(ranked.where("met").where(F.expr(f"r <= n * {100 - percent} div 100 + 1")).select(*who, "h"), "rare")
-        full = write(rare.join(people, who).select("h", "id", "comp", "n", "sig", "out", "keys"), "rare-signed")
-        others = full.where("out").select(F.col("h").alias("oh"), F.col("id").alias("o"), F.col("comp").alias("oc"), F.col("n").alias("on"), F.col("sig").alias("os"), F.col("keys").alias("ok"))
-        met = (F.col("h") == F.col("oh")) & F.expr("comp <> oc and (not out or id < o)") & _alike(F.col("n"), F.col("on"), F.col("sig"), F.col("os"), percent) & F.arrays_overlap("keys", "ok")
-        return full.join(others, met).select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b"))
-
     # first each document with the smallest pivot of all its buckets, then with the pivots of the buckets that are still mixed, last all members of different components
     comps = write(members.select("id").distinct().withColumn("comp", F.col("id")), "comps")
     comps = merged(comps, confirmed(screened(members.where("id <> pivot").groupBy(F.col("id").alias("b")).agg(F.min("pivot").alias("a")))))
     comps = merged(comps, confirmed(screened(unsettled(comps).where("comp <> base").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())))
-    left = write(unsettled(comps).join(sigs, "id").select("key", "id", "d0", "d1", "pivot", "comp", "base", "n", "sig"), "unsettled")
-    size = left.groupBy("key").agg(F.count("*").alias("size"))
-    left = write(lookup(left, ["key"], size), "sized")
-    few, many = left.where(F.col("size") <= COOL_ROWS), left.where(F.col("size") > COOL_ROWS)
-    out = few.where("comp <> base").select(F.col("key").alias("ok"), F.col("id").alias("o"), F.col("comp").alias("oc"), F.col("n").alias("on"), F.col("sig").alias("os"))
-    cross = few.join(out, (F.col("key") == F.col("ok")) & F.expr("id <> pivot and comp <> oc and (comp = base or id < o)") & _alike(F.col("n"), F.col("on"), F.col("sig"), F.col("os"), percent))
-    pairs = cross.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b"))
-    if many.limit(1).count():
-        pairs = pairs.union(crowded(many))
-    comps = merged(comps, confirmed(pairs))
+    left = write(unsettled(comps).join(sigs, "id").select("key", "id", "pivot", "comp", "base", "n", "sig"), "unsettled")
+    out = left.where("comp <> base").select(F.col("key").alias("ok"), F.col("id").alias("o"), F.col("comp").alias("oc"), F.col("n").alias("on"), F.col("sig").alias("os"))
+    cross = left.join(out, (F.col("key") == F.col("ok")) & F.expr("id <> pivot and comp <> oc and (comp = base or id < o)") & _alike(F.col("n"), F.col("on"), F.col("sig"), F.col("os"), percent))
+    comps = merged(comps, confirmed(cross.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b"))))
     home = write(reps.select("d0", "d1", "id").join(comps, "id", "left").select("d0", "d1", F.coalesce("comp", "id").alias("comp")), "homes")
     own = ["key"] if text_key else []
     found = lookup(signed.select("id", "n", "d0", "d1", *own), ["d0", "d1"], home)  # the classes of many copies are hot

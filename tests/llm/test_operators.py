@@ -65,9 +65,8 @@ def crowd_texts(rng):
     return texts
 
 
-@pytest.mark.parametrize(("make", "cool"), [(near_texts, 64), (near_texts, 1), (crowd_texts, 64), (crowd_texts, 1)])
-def test_near_duplicates(spark, monkeypatch, make, cool):
-    monkeypatch.setattr(near_dup, "COOL_ROWS", cool)
+@pytest.mark.parametrize("make", [near_texts, crowd_texts])
+def test_near_duplicates(spark, make):
     texts = make(random.Random(5))
     out = {r["doc_id"]: r for r in near_dup.near_duplicates(docs_of(spark, list(enumerate(texts))), words=4).collect()}
 
