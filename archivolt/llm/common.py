@@ -78,6 +78,12 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
+def by_slices(values: pa.Array, work, kind: pa.DataType, rows: int = 1000) -> pa.Array:
+    """work(list of values) -> list of results, `rows` values at a time, so that only these are Python objects at once."""
+    parts = [pa.array(work(values.slice(at, rows).to_pylist()), kind) for at in range(0, len(values), rows)]
+    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+
 def maybe_broadcast(df: DataFrame, size: int) -> DataFrame:
     """Broadcast df only where its counted bytes are within the limit; else leave the join to Spark."""
     return F.broadcast(df) if size <= BROADCAST_BYTES else df

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fitting_texts, slices
+from .common import by_slices, fitting_texts, slices
 
 KINDS = ("email", "ip", "card", "phone")
 #: Documents that the potentials are fitted on, the first by a hash of doc_id.
@@ -274,11 +274,9 @@ def redact(docs: DataFrame, model: SkipChain) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("string")
-    def clean(text):
-        import pandas as pd
-
-        return pd.Series([masked(t, shared.value.spans(t)[1]) for t in text], dtype=object)
+    @F.arrow_udf("string")
+    def clean(text: pa.Array) -> pa.Array:
+        return by_slices(text, lambda texts: [masked(t, shared.value.spans(t)[1]) for t in texts], pa.string())
 
     out = docs.withColumn("text", clean(docs["text"]))
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out

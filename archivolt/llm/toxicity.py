@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import first_keys, fitting_texts, slices
+from .common import by_slices, first_keys, fitting_texts, slices
 from .language_id import held_out
 
 #: Labelled documents of each class that the lexicon is fitted on, the first by a hash of doc_id.
@@ -219,11 +219,9 @@ def fit(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> Lexicon
 def _scorer(spark, lexicon: Lexicon):
     shared = spark.sparkContext.broadcast(lexicon)  # at most ENTRIES entries
 
-    @F.pandas_udf("double")
-    def score(text):
-        import pandas as pd
-
-        return pd.Series([shared.value.score(t) for t in text], dtype="float64")
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        return by_slices(text, lambda texts: [shared.value.score(t) for t in texts], pa.float64())
 
     return score
 
