@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -71,17 +72,30 @@ class Scratch:
         return materialize(df, tag, f"{self.home}/{tag}-{uuid.uuid4().hex}")
 
 
+def give_back() -> None:
+    """Return freed memory to the system. Spark uses a worker again for later stages, which would else start from its highest use so far."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """Batches cut to `rows` rows. Spark bounds a batch's bytes (64 MB by default), this what is unpacked at once."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        del batch
+        give_back()
 
 
 def by_slices(values: pa.Array, work, kind: pa.DataType, rows: int = 1000) -> pa.Array:
     """work(list of values) -> list of results, `rows` values at a time, so that only these are Python objects at once."""
     parts = [pa.array(work(values.slice(at, rows).to_pylist()), kind) for at in range(0, len(values), rows)]
-    return pa.concat_arrays(parts) if parts else pa.array([], kind)
+    whole = pa.concat_arrays(parts) if parts else pa.array([], kind)
+    del parts
+    give_back()
+    return whole
 
 
 def maybe_broadcast(df: DataFrame, size: int) -> DataFrame:
