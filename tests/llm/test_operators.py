@@ -6,11 +6,13 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from archivolt.llm import bpe, chat_format, decontaminate, embedding_join, language_id, near_dup, pii, token_files, toxicity, url_filter  # noqa: E402
+from archivolt.llm.common import by_slices  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, a int, b int, key string, id string, tile string"
 
@@ -543,3 +545,11 @@ def test_query_against_sql(spark, name):
     assert sorted(names) == cols
     key = lambda r: tuple((x is not None, str(x)) for x in r)
     assert sorted((tuple(r[c] for c in cols) for r in got.collect()), key=key) == sorted((tuple(r[names.index(c)] for c in cols) for r in want.fetchall()), key=key)
+
+
+def test_by_slices_keeps_order_and_nulls():
+    values = [None if i % 7 == 0 else "x" * (i % 5) for i in range(25)]
+    for rows in (1, 4, 25, 100):
+        got = by_slices(pa.array(values, pa.string()), lambda some: [None if v is None else len(v) for v in some], pa.int64(), rows)
+        assert got.to_pylist() == [None if v is None else len(v) for v in values]
+    assert by_slices(pa.array([], pa.string()), list, pa.string()).to_pylist() == []
